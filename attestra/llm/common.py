@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,16 +86,13 @@ def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def strings(column: pa.Array) -> list[str | None]:
-    return column.to_pylist()
-
-
 def byte_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text, so that long texts don't meet in one."""
     for batch in batches:
-        sizes = np.frombuffer(batch.column(text).cast(pa.large_binary()).buffers()[1], np.int64)[batch.column(text).offset :][: batch.num_rows + 1] if batch.num_rows else np.zeros(1, np.int64)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(sizes, sizes[start] + most, "right")) - 1)
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
