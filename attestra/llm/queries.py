@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import minhash, packing, pii
+from attestra.llm import embed_dedup, minhash, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,12 +30,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_pii, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_pii, op8_embedding_near_dedup, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
