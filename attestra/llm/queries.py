@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import embed_dedup, minhash, packing, pii, topk
+from attestra.llm import embed_dedup, minhash, packing, pii, quality, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """A vocabulary file of the public tokenizers package; operators take the path as a parameter."""
     import public_tokenizers
 
@@ -24,7 +24,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -45,7 +49,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_exact_top_k, op4_best_fit_packing, op5_pii, op8_embedding_near_dedup, op10_minhash_near_dedup)
+    found = (op3_exact_top_k, op4_best_fit_packing, op5_pii, op7_quality_classifier, op8_embedding_near_dedup, op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
