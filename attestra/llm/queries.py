@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import embed_dedup, minhash, packing, pii, quality, topk
+from attestra.llm import embed_dedup, minhash, packing, pii, quality, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,12 +44,26 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+#: Verdict, host and start of the path.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_exact_top_k, op4_best_fit_packing, op5_pii, op7_quality_classifier, op8_embedding_near_dedup, op10_minhash_near_dedup)
+    found = (op3_exact_top_k, op4_best_fit_packing, op5_pii, op7_quality_classifier, op8_embedding_near_dedup, op9_url_filter, op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
