@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import embed_dedup, minhash, packing, pii, quality, topk, url_filter
+from attestra.llm import embed_dedup, minhash, packing, pii, quality, topk, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -63,12 +67,23 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_exact_top_k, op4_best_fit_packing, op5_pii, op7_quality_classifier, op8_embedding_near_dedup, op9_url_filter, op10_minhash_near_dedup)
+    found = (op2_warc_segments, op3_exact_top_k, op4_best_fit_packing, op5_pii, op7_quality_classifier, op8_embedding_near_dedup, op9_url_filter, op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
 _FINITE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
 
+_WARC = """
+with p as (
+  select page_id, strlen(coalesce(html, ''))::bigint as n, sha1(coalesce(html, '')) as digest from pages
+), m as (
+  select *, case when n >= 1000 then max(page_id) over (partition by digest, n >= 1000) else page_id end as first from p
+)
+select page_id, n as payload_bytes, digest as payload_digest, case when page_id < first then 'revisit' else 'response' end as record_type,
+  case when page_id < first then first end as refers_to, null::varchar as problem
+from m
+"""
+
 _TOP_K = f"""
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as vector
@@ -120,6 +135,7 @@ from documents d left join ended using (doc_id) left join sizes using (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_segments": _WARC,
         "op3_exact_top_k": _TOP_K,
         "op8_embedding_near_dedup": _EMBED_DEDUP,
         "op10_minhash_near_dedup": _MINHASH,
