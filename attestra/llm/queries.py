@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import embed_dedup, minhash, packing, pii, quality, topk, url_filter, warc
+from attestra.llm import embed_dedup, html_text, minhash, packing, pii, quality, topk, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,11 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract_text("html").alias("text")
+    return _table(spark, sf_dir, "pages").select("page_id", text).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -67,7 +72,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_warc_segments, op3_exact_top_k, op4_best_fit_packing, op5_pii, op7_quality_classifier, op8_embedding_near_dedup, op9_url_filter, op10_minhash_near_dedup)
+    found = (op2_warc_segments, op3_exact_top_k, op4_best_fit_packing, op5_pii, op6_html_text, op7_quality_classifier, op8_embedding_near_dedup, op9_url_filter, op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
