@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import embed_dedup, html_text, minhash, packing, pii, quality, topk, url_filter, warc
+from attestra.llm import embed_dedup, html_text, minhash, packing, pii, quality, sentencepiece_unigram, topk, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded = _table(spark, sf_dir, "documents").select("doc_id", "text", sentencepiece_unigram.encode("text", path).alias("ids"))
+    same = sentencepiece_unigram.decode("ids", path).eqNullSafe(F.translate("text", sentencepiece_unigram.MARKER, " "))
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
+
+
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -72,7 +80,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_warc_segments, op3_exact_top_k, op4_best_fit_packing, op5_pii, op6_html_text, op7_quality_classifier, op8_embedding_near_dedup, op9_url_filter, op10_minhash_near_dedup)
+    found = (op1_sentencepiece, op2_warc_segments, op3_exact_top_k, op4_best_fit_packing, op5_pii, op6_html_text, op7_quality_classifier, op8_embedding_near_dedup, op9_url_filter, op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
