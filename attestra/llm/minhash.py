@@ -7,14 +7,14 @@ compared on their full shingle sets. What keeps the join small, without losing p
 - Prefix: two signatures of K coordinates with at least T collisions share one of any K - T + 1 of their posts taken in
   one order for all. The order is by how common a post is, rarest first, so posts of passages that many documents share
   come last and stay out, and a document without near duplicates has no post in its prefix that anybody else has.
-- Skip: under each post the document whose posts are the most common in the corpus leads, and the others are compared
-  with it first. Members that are then in one component needn't be compared again; the rest of a post, if any, are compared
-  with all its members that are in another component, in blocks of bounded size, and only pairs with at least T collisions
-  come out of a block.
-
-Components need no more links than those: every pair of a post that is left out is connected already. A pair at the
-similarity threshold is missed only if fewer than T of its K coordinates collide; K = 24, T = 9 make that a chance of
-about 2 in 10^8 at 0.85, and 7 in 10^7 at 0.8.
+- Merging: posts that share a document are one gathering, so two documents that share any post of their prefixes are in one
+  gathering, and in no other. A gathering is dealt into blocks of bounded size, and each two blocks meet in one cell.
+- Skip: a cell counts the collisions of a document with those of another component only, and confirms pairs with at
+  least T of them on the full sets, which are bits over the shingles that two of the cell's documents have. What
+  leaves a cell are the links that tied components together, fewer than its documents.
+
+Components need no more links than those. A pair at the similarity threshold is missed only if fewer than T of its K
+coordinates collide; K = 24, T = 9 make that a chance of about 2 in 10^8 at 0.85, and 7 in 10^7 at 0.8.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from attestra.llm.common import byte_batches, connected_components, materialize
 from attestra.llm.shingles import min_hashes, shingle_sets
 
 WIDTH, COORDINATES, MATCHES = 5, 24, 9
-REST_BLOCK, MEMBER_BLOCK = 256, 2048
+#: A block has about this many documents and shingles at most (or is one document).
+BLOCK_DOCUMENTS, BLOCK_SHINGLES = 2_000, 1_500_000
 
 
 def signatures(docs: DataFrame, width: int = WIDTH, coordinates: int = COORDINATES) -> DataFrame:
@@ -57,76 +58,94 @@ def signatures(docs: DataFrame, width: int = WIDTH, coordinates: int = COORDINAT
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<int>")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes for each row of wanted(doc_id, f1, rows): the text whose set f1 names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "text", 4_000_000):
-            sets = shingle_sets(batch.column("text"), width)
-            offsets = pa.array(np.append(0, sets.ends).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(sets.values.view(np.int64)))
-            names = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-            found = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rows"), lists], ["doc_id", "rows", "shingles"])
-            yield found.filter(pc.equal(batch.column("f1"), pa.array(names)))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.join(wanted, "doc_id").mapInArrow(run, "doc_id bigint, rows bigint, shingles array<bigint>")
-    found = materialize(found, "sets")
-    return found.where("rows = 1").drop("rows").union(found.where("rows > 1").drop("rows").dropDuplicates(["doc_id"]))
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    # sizes bound the similarity before the sets are compared
-    near = pairs.join(left, "a").join(right, "b").where(f"100 * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return near.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-
-def _matches(x: str, y: str) -> F.Column:
-    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
-
-
-def _posts(reps: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """post, doc, weight, sig: each class under the posts of its prefix that another class has too."""
+def _gatherings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """node and component: the documents of posts that more than one class has in its prefix, by gathering."""
     post = F.posexplode("sig").alias("at", "value")
-    every = reps.select("doc", post).select("doc", F.xxhash64("at", "value").alias("post"))
+    every = classes.select("doc", post).select("doc", F.xxhash64("at", "value").alias("post"))
     common = every.groupBy("post").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     shared = every.join(materialize(common, "common"), "post").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("times", "post"))).alias("posts"))
     # posts that only this class has are the rarest and come first in the prefix
     alone = F.lit(coordinates) - F.size("posts")
     prefix = F.slice("posts", F.lit(1), F.greatest(F.lit(0), F.lit(coordinates - matches + 1) - alone))
-    weight = F.aggregate("posts", F.lit(0).cast("long"), lambda acc, p: acc + p["times"])
-    return shared.select("doc", weight.alias("weight"), F.explode(prefix).alias("p")).select("doc", "weight", F.col("p.post").alias("post"))
-
+    posts = materialize(shared.select("doc", F.explode(prefix).alias("p")).select("doc", F.col("p.post").alias("post")), "posts")
+    leads = materialize(posts.groupBy("post").agg(F.min("doc").alias("lead")), "leads")
+    return connected_components(posts.join(leads, "post").select(F.col("doc").alias("a"), F.col("lead").alias("b")))
+
+
+def _bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, over the values that more than one set has."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.append(True, values[1:] != values[:-1])
+    times = np.diff(np.append(np.flatnonzero(first), len(values)))
+    column = np.repeat(np.cumsum(times > 1) - 1, times)
+    common = np.repeat(times > 1, times)
+    column, owner = column[common], owner[common]
+    out = np.zeros((len(sets), (int(column.max(initial=0)) >> 6) + 1), np.uint64)
+    np.bitwise_or.at(out, (owner, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    return out
+
+
+def cell_links(docs: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that tie together what is linked among the documents of a cell of one block, or across one of two."""
+    sizes, bits, label = np.array([len(s) for s in sets]), _bits(sets), np.arange(len(docs))
+    across, a, b = len(np.unique(blocks)) > 1, [], []
+    for k in range(len(docs)):
+        other = label != label[k]
+        other[: k + 1] = False
+        if across:
+            other &= blocks != blocks[k]
+        # sizes bound the similarity
+        other &= (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
+        rest = np.flatnonzero(other)
+        rest = rest[(sigs[rest] == sigs[k]).sum(1) >= matches]
+        if len(rest):
+            both = np.bitwise_count(bits[rest] & bits[k]).sum(1, dtype=np.int64)
+            linked = rest[100 * both >= percent * (sizes[rest] + sizes[k] - both)]
+            tied, first = np.unique(label[linked], return_index=True)
+            a += [docs[k]] * len(tied)
+            b += docs[linked[first]].tolist()
+            label[np.isin(label, tied)] = label[k]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _links(docs: DataFrame, classes: DataFrame, gathered: DataFrame, percent: int, width: int, matches: int) -> DataFrame:
+    """Links (a, b) that tie together what is linked within each gathering (node, component)."""
+    member = classes.join(gathered, F.col("doc") == F.col("node")).select("doc", "component", "f1", "sig", "n_shingles")
+    member = materialize(member, "members")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCUMENTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sized = materialize(member.groupBy("component").agg(parts.alias("blocks")), "sized")
+    dealt = member.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    dealt = dealt.select(F.col("doc").alias("_doc"), "component", "blocks", "block", "f1", "sig")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = ["doc_id", "component", "blocks", "block", "sig"]
 
-def _in_blocks(members: DataFrame, matches: int) -> DataFrame:
-    """Pairs (a, b) with enough collisions, a of the rest of its post and b of any other component in it.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text", 4_000_000):
+            sets = shingle_sets(batch.column("text"), width)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, sets.ends).astype(np.int32)), pa.array(sets.values.view(np.int64)))
+            names = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+            found = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "shingles"])
+            yield found.filter(pc.equal(batch.column("f1"), pa.array(names)))  # of rows that repeat a doc_id, those with the text that counts
 
-    members: post, doc, sig, component, rest. Each cell holds at most about REST_BLOCK and MEMBER_BLOCK rows.
-    """
-    sizes = members.groupBy("post").agg(F.ceil(F.count_if("rest") / REST_BLOCK).cast("int").alias("across"), F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("down"))
-    held = members.join(materialize(sizes.where("across > 0"), "sizes"), "post")
-    mine = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    as_rest = held.where("rest").select("post", "doc", "sig", "component", F.lit(True).alias("rest"), mine("across").alias("i"), every("down").alias("j"))
-    as_member = held.select("post", "doc", "sig", "component", F.lit(False).alias("rest"), every("across").alias("i"), mine("down").alias("j"))
+    found = rows.join(dealt, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "component", "blocks", "block", "f1", "sig")
+    found = found.mapInArrow(read, "doc_id bigint, component bigint, blocks int, block int, sig array<int>, shingles array<bigint>")
+    met = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "sig", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
-        rest = table.column("rest").to_numpy(zero_copy_only=False)
-        docs, comps = table.column("doc").to_numpy(), table.column("component").to_numpy()
-        sigs = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(docs), -1)
-        at, to = np.flatnonzero(rest), np.flatnonzero(~rest)
-        found: list[np.ndarray] = []
-        for k in at.tolist():
-            same = (sigs[to] == sigs[k]).sum(1)
-            found.append(np.stack([np.full(len(hit := to[(same >= matches) & (comps[to] != comps[k])]), docs[k]), docs[hit]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs.min(0), "b": pairs.max(0)}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        ids, once = np.unique(table.column("doc_id").to_numpy(), return_index=True)
+        table = table.take(pa.array(once))
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
+        ends = np.cumsum(pc.list_value_length(table.column("shingles")).to_numpy())
+        sets = np.split(flat("shingles"), ends[:-1])
+        blocks, sigs = table.column("block").to_numpy(), flat("sig").reshape(len(ids), -1)
+        alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        a, b = cell_links(ids, blocks, sigs, sets, percent, matches) if alone or len(np.unique(blocks)) > 1 else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return as_rest.union(as_member).groupBy("post", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return cells.groupBy("component", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -138,33 +157,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, coor
     doc_id has a null component and is kept. Other columns are not read.
     """
     signed = materialize(signatures(docs, width, coordinates), "signed")
-    one = signed.where("sig is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "sig")).alias("s"), F.count(F.lit(1)).alias("rows"))
-    one = materialize(one.select("doc_id", "s.f1", "s.f2", "s.sig", "rows"), "documents")
-    classes = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig"), F.min_by("rows", "doc_id").alias("rows"))
+    one = signed.where("sig is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n_shingles", "sig")).alias("s"))
+    one = materialize(one.select("doc_id", "s.*"), "documents")
+    classes = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
     classes = materialize(classes, "classes")
 
-    posts = materialize(_posts(classes, coordinates, matches).join(classes.select("doc", "sig"), "doc"), "posts")
-    leads = posts.groupBy("post").agg(F.max_by(F.struct("doc", "sig"), F.struct("weight", -F.col("doc"))).alias("lead"))
-    starred = posts.join(materialize(leads, "leads"), "post").where("doc <> lead.doc").select("doc", "sig", F.col("lead.doc").alias("lead"), F.col("lead.sig").alias("lead_sig"))
-    first = starred.where(_matches("sig", "lead_sig") >= matches).select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
-
-    wanted = posts.select("doc").distinct().join(classes, "doc").select(F.col("doc").alias("doc_id"), "f1", "rows")
-    sets = _full_sets(docs, wanted, width)
-    links = materialize(_linked(first, sets, percent), "links")
-    components = materialize(connected_components(links), "components")
-
-    # what a lead's component doesn't hold, against all other components of the post
-    member = posts.join(components, F.col("doc") == F.col("node"), "left").select("post", "doc", "sig", "weight", F.coalesce("component", "doc").alias("component"))
-    member = materialize(member, "members")
-    split = member.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("weight", -F.col("doc"))).alias("led"))
-    split = materialize(split.where("low <> high").select("post", "led"), "split")
-    rest = member.join(split, "post").select("post", "doc", "sig", "component", (F.col("component") != F.col("led")).alias("rest"))
-    more = materialize(_linked(_in_blocks(materialize(rest, "rest"), matches), sets, percent), "more")
+    gathered = _gatherings(classes, coordinates, matches)
+    links = materialize(_links(docs, classes, gathered, percent, width, matches), "links")
 
-    final = connected_components(links.union(more))
+    final = connected_components(links)
     of_class = classes.join(final, F.col("doc") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "doc").alias("component_id"))
-    of_doc = one.join(materialize(of_class, "of-class"), ["f1", "f2"]).select(F.col("doc_id").alias("_id"), "component_id")
-    out = signed.join(of_doc, F.col("doc_id") == F.col("_id"), "left")
+    of_doc = one.select("doc_id", "f1", "f2").join(materialize(of_class, "of-class"), ["f1", "f2"]).select(F.col("doc_id").alias("_id"), "component_id")
+    out = signed.select("doc_id", "n_shingles").join(of_doc, F.col("doc_id") == F.col("_id"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
