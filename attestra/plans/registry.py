@@ -1,21 +1,481 @@
-"""Queries of the citation engine, by name."""
+"""Queries of the citation engine over the driver's tables, with the SQL that gives the same rows.
+
+The tables hold no citations, so each query derives them: records from orders, citations and spans from lineitem. The
+derivation is written once in each language; what lies between is the engine's own operator.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestra.functions import columns as K
+from attestra.functions.fixed_values import STATES
+from attestra.operators import catalog, checks, emit, fit, metric, resolve, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql.replace("from lineitem", f"from {_LINES_SQL}")
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: One row for each line of an order: lineitem repeats some.
+_LINE_COLUMNS = ("l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+_LINES_SQL = "(select l_orderkey, l_linenumber, " + ", ".join(f"min({c}) as {c}" for c in _LINE_COLUMNS) + " from lineitem group by all) as lines"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    return rows.agg(*(F.min(c).alias(c) for c in _LINE_COLUMNS))
+
+
+# --- derived tables; every SQL text below is for DuckDB
+_STATE_SQL = f"['{"', '".join(STATES)}']"
+_COURT = "case substr(o_orderpriority, 1, 1) when '1' then 'STF' when '2' then 'STJ' when '3' then 'STM' when '4' then 'TSE' else 'TST' end"
+#: A record's key is shared by three neighbouring orders; a citation's is that of an order, or beyond the last one.
+_KEY = "cast(1000000 + {k} // 3 as varchar)"
+
+
+def _state(n) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, STATES)), (n % len(STATES) + 1).cast("int"))
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    """id, court, key, uf, texto: records with the header of a ruling."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    key = F.expr("cast(1000000 + o_orderkey div 3 as string)")
+    uf = F.when(F.col("o_orderkey") % 4 != 0, _state(F.col("o_custkey")))
+    return o.select(F.col("o_orderkey").alias("id"), F.expr(_COURT).alias("tribunal"), key.alias("chave"), uf.alias("uf"), F.year("o_orderdate").alias("ano"))
+
+
+_ORDERS_SQL = f"""o as (
+  select o_orderkey as id, {_COURT} as tribunal, {_KEY.format(k="o_orderkey")} as chave,
+    case when o_orderkey % 4 <> 0 then {_STATE_SQL}[o_custkey % {len(STATES)} + 1] end as uf, year(o_orderdate) as ano from orders)"""
+
+
+def _campos(**given) -> F.Column:
+    from attestra.plans.schemas import FIELDS
+
+    return F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FIELDS.fields))
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    o = _orders(spark, sf_dir)
+    classes = F.when(F.col("id") % 2 == 0, F.array(F.lit("REsp"))).otherwise(F.array(F.lit("AgInt"), F.lit("REsp")))
+    fields = _campos(numero_normalizado=F.col("chave"), uf=F.col("uf"), classe=F.lit("REsp"), classes_compostas=classes, vinculante=F.lit(False))
+    return o.select("id", "tribunal", F.lit("acordao").alias("natureza"), fields.alias("campos"), F.sha1(F.concat_ws("|", "chave", F.col("ano").cast("string")).cast("binary")).alias("hash_texto"), F.array().cast("array<string>").alias("numeros_alternativos"))
+
+
+def _citations(spark, sf_dir) -> DataFrame:
+    li = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    number = F.when(F.col("l_partkey") % 10 != 0, F.expr("cast(1000000 + (l_orderkey + l_partkey) div 3 as string)"))
+    fields = _campos(numero_normalizado=number, uf=F.when(F.col("l_partkey") % 7 == 0, _state(F.col("l_suppkey"))), classes_compostas=F.array(F.lit("REsp")), vinculante=F.lit(False))
+    return li.select("l_orderkey", "l_linenumber", F.lit("jurisprudencia").alias("tipo_bruto"), (F.col("l_partkey") % 11 != 0).alias("tem_identificador"), fields.alias("campos"))
+
+
+_CITATIONS_SQL = f"""c as (
+  select l_orderkey, l_linenumber, l_partkey % 11 <> 0 as known, case when l_partkey % 10 <> 0 then {_KEY.format(k="(l_orderkey + l_partkey)")} end as chave,
+    case when l_partkey % 7 = 0 then {_STATE_SQL}[l_suppkey % {len(STATES)} + 1] end as uf from lineitem)"""
+_DECIDED_SQL = f"""with {_ORDERS_SQL}, {_CITATIONS_SQL}, n as (
+  select c.l_orderkey, c.l_linenumber, c.known and c.chave is not null as asked, count(o.id) as found,
+    count(o.id) filter (c.uf is null or o.uf is null or c.uf = o.uf) as clean, min(o.id) filter (c.uf is null or o.uf is null or c.uf = o.uf) as first,
+    count(o.id) filter ((c.uf is null or o.uf is null or c.uf = o.uf) and o.id % 2 = 0) as same,
+    min(o.id) filter ((c.uf is null or o.uf is null or c.uf = o.uf) and o.id % 2 = 0) as same_first
+  from c left join o on c.known and c.chave = o.chave group by all
+), d as (
+  select l_orderkey, l_linenumber, case when asked then 'catalogo' else 'sem_busca' end as metodo_busca,
+    case when not asked then 'sem_identificador' when found > 0 and clean = 0 then 'veto_quimera' when clean = 0 then 'cardinalidade_0'
+      when clean = 1 then 'cardinalidade_1' when same = 1 then 'desempate_classe' else 'cardinalidade_2mais' end as metodo_decisao, first, same_first, found
+  from n
+)"""
+
+
+def _decided(spark, sf_dir) -> DataFrame:
+    return resolve.decide(resolve.search(_citations(spark, sf_dir), _records(spark, sf_dir)))
+
+
+@_query(f"""{_DECIDED_SQL} select l_orderkey, l_linenumber, metodo_busca, metodo_decisao,
+  case when metodo_decisao in ('cardinalidade_1', 'desempate_classe') then 'real' when metodo_decisao in ('veto_quimera', 'cardinalidade_0') then 'inventada' else 'incompleta' end as classificacao,
+  case metodo_decisao when 'cardinalidade_1' then first when 'desempate_classe' then same_first end as id_canonico, 'jurisprudencia' as tipo from d""")
+def decide_cardinality(spark, sf_dir):
+    return _decided(spark, sf_dir).select("l_orderkey", "l_linenumber", "metodo_busca", "metodo_decisao", "classificacao", "id_canonico", "tipo")
+
+
+@_query(f"with {_ORDERS_SQL}, {_CITATIONS_SQL} select l_orderkey, l_linenumber, count(o.id) as found from c left join o on c.known and c.chave = o.chave group by all")
+def exact_lookup(spark, sf_dir):
+    rows = resolve.search(_citations(spark, sf_dir), _records(spark, sf_dir))
+    return rows.select("l_orderkey", "l_linenumber", F.size("candidatos").cast("long").alias("found"))
+
+
+@_query(f"""with {_ORDERS_SQL}, {_CITATIONS_SQL} select l_orderkey, l_linenumber, count(*) filter (c.uf <> o.uf) as hard from c join o on c.known and c.chave = o.chave group by all""")
+def conflict_flags(spark, sf_dir):
+    rows = resolve.search(_citations(spark, sf_dir), _records(spark, sf_dir)).where("size(candidatos) > 0")
+    return rows.select("l_orderkey", "l_linenumber", F.size(F.filter("candidatos", lambda k: F.array_contains(k["conflitos_duros"], "uf"))).cast("long").alias("hard"))
+
+
+@_query(f"""with {_ORDERS_SQL}, {_CITATIONS_SQL}, k as (
+  select distinct c.l_orderkey, c.l_linenumber, o.id, o.chave || '|' || o.ano as sign from c join o on c.known and c.chave = o.chave where c.uf is null or o.uf is null or c.uf = o.uf)
+select l_orderkey, l_linenumber, min(id) as id_canonico from k group by all having count(*) > 1 and count(distinct sign) = 1""")
+def tiebreak_duplicate(spark, sf_dir):
+    rows = resolve.decide(resolve.search(_citations(spark, sf_dir), _records(spark, sf_dir)), resolve.Rules(duplicates=True))
+    return rows.where("metodo_decisao = 'desempate_duplicata'").select("l_orderkey", "l_linenumber", "id_canonico")
+
+
+@_query(f"{_DECIDED_SQL} select l_orderkey, l_linenumber, same_first as id_canonico from d where metodo_decisao = 'desempate_classe'")
+def tiebreak_class(spark, sf_dir):
+    return _decided(spark, sf_dir).where("metodo_decisao = 'desempate_classe'").select("l_orderkey", "l_linenumber", "id_canonico")
+
+
+@_query(f"{_DECIDED_SQL} select metodo_decisao, count(*) filter (metodo_busca = 'catalogo') as catalogo, count(*) filter (metodo_busca = 'sem_busca') as sem_busca from d group by all")
+def method_histogram(spark, sf_dir):
+    return _decided(spark, sf_dir).groupBy("metodo_decisao").pivot("metodo_busca", ["catalogo", "sem_busca"]).count().na.fill(0)
+
+
+@_query(f"""{_DECIDED_SQL} select found as candidates, metodo_decisao, count(*) as citations, count(*) * 1.0 / sum(count(*)) over () as share from d group by all""")
+def counterfactual_projection(spark, sf_dir):
+    rows = _decided(spark, sf_dir).select(F.size("candidatos").cast("long").alias("candidates"), "metodo_decisao")
+    return rows.groupBy("candidates", "metodo_decisao").agg(F.count(F.lit(1)).alias("citations")).crossJoin(rows.agg(F.count(F.lit(1)).alias("n"))).select("candidates", "metodo_decisao", "citations", (F.col("citations") / F.col("n")).alias("share"))
+
+
+@_query(f"with {_ORDERS_SQL} select chave, count(*) as n, min(id) as first, max(id) as last from o group by chave having count(*) > 1")
+def collision_report(spark, sf_dir):
+    return catalog.collisions(catalog.keys(_records(spark, sf_dir))).select("chave", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first"), F.array_max("ids").alias("last"))
+
+
+@_query(f"with {_ORDERS_SQL} select chave, id, tribunal from o")
+def catalog_keys(spark, sf_dir):
+    return catalog.keys(_records(spark, sf_dir)).select("chave", "id", "tribunal")
+
+
+_SOURCE = "'RECURSO ESPECIAL Nº ' || replace(format('{:,}', 1000000 + o_custkey // 3), ',', '.') || chr(10) || 'EMENTA'"
+
+
+@_query(f"""select o_orderkey as id, {_KEY.format(k="o_custkey")} as numero, 'REsp' as classe, sha1({_SOURCE}) as hash_texto from orders""")
+def catalog_build(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    number = F.replace(F.format_number(F.expr("1000000 + o_custkey div 3"), 0), F.lit(","), F.lit("."))
+    text = F.concat(F.lit("RECURSO ESPECIAL Nº "), number, F.lit("\nEMENTA"))
+    source = o.select(F.col("o_orderkey").cast("string").alias("documento_id"), F.col("o_orderkey").alias("id"), F.lit("STJ").alias("tribunal"), F.year("o_orderdate").alias("ano"), F.lit(None).cast("string").alias("relator"), F.lit("acordao").alias("natureza"), F.lit("jurisprudencia").alias("tipo"), text.alias("texto"))
+    return catalog.build(source).select("id", F.col("campos.numero_normalizado").alias("numero"), "campos.classe", "hash_texto")
+
+
+_NOISY = "translate(replace(format('{:,}', 1000000 + o_custkey), ',', '.'), '015', 'OlS')"
+
+
+def _noisy_numbers(spark, sf_dir) -> DataFrame:
+    number = F.translate(F.replace(F.format_number(F.col("o_custkey") + 1000000, 0), F.lit(","), F.lit(".")), "015", "OlS")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("REsp nº "), number, F.lit("/"), _state(F.col("o_custkey"))).alias("trecho"))
+
+
+#: A number whose digits are all put as letters stays text: nothing shows that it is one.
+_SOME_DIGIT = "regexp_matches(" + _NOISY + ", '[0-9]')"
+
+
+@_query(f"select o_orderkey, case when {_SOME_DIGIT} then cast(1000000 + o_custkey as varchar) else '' end as chave from orders")
+def digit_key(spark, sf_dir):
+    return _noisy_numbers(spark, sf_dir).select("o_orderkey", K.digit_key("trecho").alias("chave"))
+
+
+@_query(f"""select o_orderkey, 'REsp nº ' || case when {_SOME_DIGIT} then replace(format('{{:,}}', 1000000 + o_custkey), ',', '.') else {_NOISY} end || '/' || {_STATE_SQL}[o_custkey % {len(STATES)} + 1] as texto, {_SOME_DIGIT} and regexp_matches({_NOISY}, '[OlS]') as corrigido from orders""")
+def ocr_repair(spark, sf_dir):
+    return _noisy_numbers(spark, sf_dir).select("o_orderkey", K.repaired("trecho").alias("r")).select("o_orderkey", "r.texto", "r.corrigido")
+
+
+@_query(f"select o_orderkey, {_STATE_SQL}[o_custkey % {len(STATES)} + 1] as uf from orders")
+def uf_suffix(spark, sf_dir):
+    return _noisy_numbers(spark, sf_dir).select("o_orderkey", K.state_suffix("trecho").alias("uf"))
+
+
+@_query("select o_orderkey, replace(format('{:,}', 1000000 + o_custkey), ',', '.') as numero from orders")
+def regroup_number(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", K.regrouped((F.col("o_custkey") + 1000000).cast("string")).alias("numero"))
+
+
+@_query("select o_orderkey, case o_orderkey % 3 when 0 then 'AgInt>REsp' when 1 then 'EDcl>AgInt>AREsp' else 'HC' end as classes from orders")
+def class_chain(spark, sf_dir):
+    text = F.expr("case o_orderkey % 3 when 0 then 'AgInt no Recurso Especial' when 1 then 'EDcl no Agravo Interno no ARESP' else 'H.C.' end || ' 1.234/SP'")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(K.class_chain(text), ">").alias("classes"))
+
+
+@_query("select o_orderkey, case o_orderkey % 4 when 0 then 'CF' when 1 then 'CPM' when 2 then 'CDC' end as diploma from orders")
+def statute_lookup(spark, sf_dir):
+    text = F.expr("case o_orderkey % 4 when 0 then 'art. 5 da Constituição Fedcral' when 1 then 'do Codigo Penal Mi1itar' when 2 then 'do CDC' else 'Lei nº 9.504/1997' end")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", K.statute(text).alias("diploma"))
+
+
+@_query("""select o_orderkey, cast(1 + o_custkey % 900 as varchar) as artigo, case when o_orderkey % 2 = 0 then 'único' else cast(1 + o_orderkey % 9 as varchar) end as paragrafo, 'CPC' as diploma from orders""")
+def field_extract(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    part = F.when(F.col("o_orderkey") % 2 == 0, ", parágrafo único").otherwise(F.concat(F.lit(", § "), (1 + F.col("o_orderkey") % 9).cast("string"), F.lit("º")))
+    text = F.concat(F.lit("art. "), (1 + F.col("o_custkey") % 900).cast("string"), part, F.lit(", do CPC"))
+    return o.select("o_orderkey", K.parse_fields(text, F.lit("lei"))["campos"].alias("c")).select("o_orderkey", "c.artigo", "c.paragrafo", "c.diploma")
+
+
+_SPAN_TEXT = "repeat('abc ', o_custkey % 5) || 'Veja o REsp ' || replace(format('{:,}', 1000000 + o_custkey), ',', '.') || '/SP no texto.'"
+
+
+@_query(f"select o_orderkey, 4 * (o_custkey % 5) + 7 as inicio, 4 * (o_custkey % 5) + 24 as fim, 'REsp ' || replace(format('{{:,}}', 1000000 + o_custkey), ',', '.') || '/SP' as trecho from orders")
+def span_extract(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    text = F.concat(F.expr("repeat('abc ', cast(o_custkey % 5 as int))"), F.lit("Veja o REsp "), F.replace(F.format_number(F.col("o_custkey") + 1000000, 0), F.lit(","), F.lit(".")), F.lit("/SP no texto."))
+    found = spans.extract(o.select(F.col("o_orderkey").cast("string").alias("documento_id"), text.alias("texto")))
+    return found.select(F.col("documento_id").cast("long").alias("o_orderkey"), F.col("inicio").cast("long"), F.col("fim").cast("long"), "trecho")
+
+
+@_query("select o_orderkey, cast(1000000 + o_custkey as varchar) as chave, true as same from orders")
+def noise_robustness(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 1000000).cast("string").alias("chave"))
+    noisy = K.noisy(F.concat(F.lit("REsp 2.345."), K.regrouped("chave")), F.col("o_orderkey"), F.lit(7))
+    return o.select("o_orderkey", "chave", (K.digit_key(noisy) == F.concat(F.lit("2345"), F.col("chave"))).alias("same"))
+
+
+@_query("""select doc_id, least(case when regexp_matches(text, '\\r?\\n[ \\t]*\\r?\\n') then length(regexp_extract(text, '(?s)^(.*?)\\r?\\n[ \\t]*\\r?\\n', 1)) else length(text) end, 1000) as header_end from documents""")
+def header_bound(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", K.header_end("text").cast("long").alias("header_end"))
+
+
+@_query("""select doc_id, length(text) - length(ltrim(text, ' .,;:-' || chr(9) || chr(10) || chr(13) || chr(160))) as inicio, length(rtrim(text, ' .,;:-' || chr(9) || chr(10) || chr(13) || chr(160))) as fim from documents where length(trim(text, ' .,;:-' || chr(9) || chr(10) || chr(13) || chr(160))) >= 8""")
+def span_trim_filter(spark, sf_dir):
+    from attestra.functions.fixed_values import SPAN_EDGES
+
+    d, edges = _table(spark, sf_dir, "documents"), F.lit(SPAN_EDGES)
+    rows = d.select("doc_id", (F.length("text") - F.length(F.ltrim(F.col("text"), edges))).cast("long").alias("inicio"), F.length(F.rtrim(F.col("text"), edges)).cast("long").alias("fim"))
+    return spans.long_enough(rows)
+
+
+@_query("""with s as (select l_orderkey, l_linenumber, 30 * l_linenumber as a, 30 * l_linenumber + 20 as b from lineitem)
+select l_orderkey, count(*) as kept, sum(a)::bigint as starts from s group by all""")
+def span_dedup_iou(spark, sf_dir):
+    li = _lines(spark, sf_dir)
+    one = lambda a, b, layer: F.struct(a.cast("int").alias("inicio"), b.cast("int").alias("fim"), F.lit("x").alias("trecho"), F.lit("lei").alias("tipo_bruto"), F.lit(True).alias("tem_identificador"), F.lit(layer).alias("origem"))
+    a = 30 * F.col("l_linenumber")
+    # each kept span comes with one inside it and one of the second layer that overlaps it by more than half
+    rows = li.select("l_orderkey", F.explode(F.array(one(a, a + 20, "regex_camada1"), one(a + 2, a + 9, "regex_camada1"), one(a - 3, a + 18, "heuristica_camada2"))).alias("s"))
+    kept = rows.groupBy("l_orderkey").agg(spans.without_overlaps(F.collect_set("s")).alias("s"))
+    return kept.select("l_orderkey", F.size("s").cast("long").alias("kept"), F.aggregate("s", F.lit(0).cast("long"), lambda acc, s: acc + s["inicio"]).alias("starts"))
+
+
+@_query("""select p.p_partkey, q.s_suppkey, greatest(1.0 - case when (q.s_suppkey % 3) <> (p.p_partkey % 3) then 0.3 else 0 end - case when (q.s_suppkey % 4) <> (p.p_partkey % 4) then 0.3 else 0 end, 0)::double as score
+from part p join supplier q on p.p_size = 1 + q.s_suppkey % 50 and p.p_partkey % 2 = q.s_nationkey % 2""")
+def law_score_join(spark, sf_dir):
+    law = lambda size, code, three, four: _campos(artigo=size.cast("string"), diploma=F.concat(F.lit("L"), code.cast("string")), paragrafo=three.cast("string"), inciso=four.cast("string"), vinculante=F.lit(False), classes_compostas=F.array())
+    p, s = _table(spark, sf_dir, "part"), _table(spark, sf_dir, "supplier")
+    records = p.select(F.col("p_partkey").alias("id"), F.lit(None).cast("string").alias("tribunal"), F.lit("dispositivo").alias("natureza"), law(F.col("p_size"), F.col("p_partkey") % 2, F.col("p_partkey") % 3, F.col("p_partkey") % 4).alias("campos"), F.lit(None).cast("string").alias("hash_texto"), F.array().cast("array<string>").alias("numeros_alternativos"))
+    asked = s.select("s_suppkey", F.lit("lei").alias("tipo_bruto"), F.lit(True).alias("tem_identificador"), law(1 + F.col("s_suppkey") % 50, F.col("s_nationkey") % 2, F.col("s_suppkey") % 3, F.col("s_suppkey") % 4).alias("campos"))
+    found = resolve.search(asked, records).select("s_suppkey", F.explode("candidatos").alias("k"))
+    return found.select(F.col("k.id").alias("p_partkey"), "s_suppkey", F.round("k.score", 4).alias("score"))
+
+
+# --- spans with gold: line n of an order has [100n, 100n + 20) as gold; the prediction is moved by some places
+_LABEL = "case {x} % 3 when 0 then 'real' when 1 then 'inventada' else 'incompleta' end"
+_MOVE = "l_partkey % 10"
+_GOLD_CELL = "100 * l_linenumber || ',' || (100 * l_linenumber + 20) || ',' || " + _LABEL.format(x="l_suppkey") + " || ',' || l_suppkey"
+_PRED_LABEL = f"case when l_partkey % 8 = 0 then {_LABEL.format(x='(l_suppkey + 1)')} else {_LABEL.format(x='l_suppkey')} end"
+
+
+def _cells(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Solution by order (levels 1 and 2) and submission; each fifth line has a spare prediction inside its gold."""
+    li = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_discount")
+    n = F.expr("100 * l_linenumber")
+    gold = F.concat_ws(",", n.cast("string"), (n + 20).cast("string"), F.expr(_LABEL.format(x="l_suppkey")), F.col("l_suppkey").cast("string"))
+    move = F.expr(_MOVE)
+    own = F.when(F.col("l_partkey") % 9 == 0, F.lit("77777777")).otherwise(F.concat(F.lit("00"), F.col("l_suppkey").cast("string")))
+    pred = F.concat_ws(",", (n + move).cast("string"), (n + 20 + move).cast("string"), F.expr(_PRED_LABEL), own, F.round("l_discount", 2).cast("decimal(4,2)").cast("string"))
+    spare = F.when(F.col("l_linenumber") % 5 == 0, F.concat_ws(",", (n + 1).cast("string"), (n + 5).cast("string"), F.lit("real"), F.lit("5"), F.lit("-")))
+    rows = li.groupBy(F.col("l_orderkey").cast("string").alias("documento_id"), (1 + F.col("l_orderkey") % 2).cast("int").alias("nivel"))
+    rows = rows.agg(F.array_join(F.sort_array(F.collect_list(gold)), "|").alias("golds"), F.array_join(F.array_compact(F.concat(F.sort_array(F.collect_list(pred)), F.collect_list(spare))), "|").alias("preds"))
+    return rows.select("documento_id", "nivel", F.col("golds").alias("citacoes")), rows.select("documento_id", F.col("preds").alias("citacoes"))
+
+
+_EVENTS_SQL = f"""e as (
+  select l_orderkey, 1 + l_orderkey % 2 as nivel, l_linenumber, {_LABEL.format(x="l_suppkey")} as g, {_PRED_LABEL} as p, {_MOVE} <= 6 as hit, l_partkey % 9 <> 0 as own,
+    round(l_discount, 2) as conf, l_linenumber % 5 = 0 as spare from lineitem
+), v as (
+  select nivel, g as classe, (hit and g = p and (g <> 'real' or own))::int as tp, 0 as fp, (not hit or g <> p)::int as fn, 1 as support, (hit and g = 'inventada' and p = 'real')::int as grave,
+    case when hit then power(conf - (g = p and (g <> 'real' or own))::int, 2) end as brier from e
+  union all select nivel, p, 0, (not hit or g <> p or (g = 'real' and not own))::int, 0, 0, 0, null from e
+  union all select nivel, 'real', 0, (not hit)::int, 0, 0, 0, null from e where spare
+), t as (
+  select nivel, classe, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(support)::bigint as support, sum(grave)::bigint as grave, sum(brier) as brier_sum, count(brier) as brier_n,
+    2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) as f1 from v group by all
+), l as (
+  select nivel, avg(f1) as macro_f1, sum(grave) / sum(support) filter (classe = 'inventada') as tau, sum(brier_sum) / sum(brier_n) as brier from t group by all
+), k as (select nivel, macro_f1, tau, macro_f1 * (1 - 0.5 * tau) * (1 + 0.1 * (1 - brier)) as score from l)"""
+
+
+def _levels(spark, sf_dir) -> DataFrame:
+    return metric.level_scores(metric.confusion(metric.events(metric.aligned(*_cells(spark, sf_dir)))))
+
+
+@_query(f"with {_EVENTS_SQL} select nivel::int as nivel, classe, tp, fp, fn, support, grave, round(f1, 9) as f1 from t")
+def confusion(spark, sf_dir):
+    return metric.confusion(metric.events(metric.aligned(*_cells(spark, sf_dir)))).select("nivel", "classe", "tp", "fp", "fn", "support", "grave", F.round("f1", 9).alias("f1"))
+
+
+@_query(f"with {_EVENTS_SQL} select nivel::int as nivel, round(macro_f1, 9) as macro_f1, round(tau, 9) as tau, round(score, 9) as score from k")
+def level_score(spark, sf_dir):
+    return _levels(spark, sf_dir).select("nivel", *(F.round(c, 9).alias(c) for c in ("macro_f1", "tau", "score")))
+
+
+@_query(f"with {_EVENTS_SQL} select round(sum(nivel * score) / sum(nivel), 9) as final from k")
+def final_score(spark, sf_dir):
+    return metric.final_score(_levels(spark, sf_dir)).select(F.round("final", 9).alias("final"))
+
+
+@_query(f"with {_EVENTS_SQL} select nivel::int as nivel, round(score, 9) as score from k where score < 0.9")
+def regression_gate(spark, sf_dir):
+    now = _levels(spark, sf_dir)
+    return metric.gate(now, now.select("nivel", F.lit(0.9).alias("score"), F.lit(1.0).alias("tau"))).select("nivel", F.round("score", 9).alias("score"))
+
+
+@_query(f"select l_orderkey, count(*) as pairs from lineitem where {_MOVE} <= 6 group by all")
+def greedy_match(spark, sf_dir):
+    rows = metric.aligned(*_cells(spark, sf_dir)).where("size(pairs) > 0")
+    return rows.select(F.col("documento_id").cast("long").alias("l_orderkey"), F.size("pairs").cast("long").alias("pairs"))
+
+
+@_query(f"select 1 + l_orderkey % 2 as nivel, count(*) filter ({_MOVE} > 6) as counted from lineitem where l_linenumber % 5 = 0 group by all")
+def extra_rule(spark, sf_dir):
+    solution, sent = _cells(spark, sf_dir)
+    spare = sent.select("documento_id", F.array_join(F.filter(F.split("citacoes", r"\|"), lambda c: ~c.endswith(",5,-")), "|").alias("citacoes"))
+    both = [metric.confusion(metric.events(metric.aligned(solution, s))).groupBy("nivel").agg(F.sum("fp").alias(f"fp{k}")) for k, s in enumerate((sent, spare))]
+    return both[0].join(both[1], "nivel").select(F.col("nivel").cast("long"), (F.col("fp0") - F.col("fp1")).alias("counted"))
+
+
+@_query(f"select l_orderkey, count(*) as n, sum(100 * l_linenumber)::bigint as starts, count(*) filter ({_LABEL.format(x='l_suppkey')} = 'real') as reals from lineitem group by all")
+def parse_cell(spark, sf_dir):
+    rows = _cells(spark, sf_dir)[0].select("documento_id", metric.expected(F.col("citacoes")).alias("g"))
+    return rows.select(F.col("documento_id").cast("long").alias("l_orderkey"), F.size("g").cast("long").alias("n"), F.aggregate("g", F.lit(0).cast("long"), lambda acc, x: acc + x["inicio"]).alias("starts"), F.size(F.filter("g", lambda x: x["classe"] == "real")).cast("long").alias("reals"))
+
+
+@_query("select l_orderkey, l_linenumber, 'id is not digits' as problem from lineitem where l_partkey % 50 = 0")
+def cell_problems(spark, sf_dir):
+    li = _lines(spark, sf_dir)
+    own = F.when(F.col("l_partkey") % 50 == 0, "x1").otherwise("1")
+    sent = li.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("documento_id"), F.concat(F.lit("0,5,real,"), own, F.lit(",0.5")).alias("citacoes"))
+    rows = metric.submission_problems(sent).withColumn("p", F.split("documento_id", "-"))
+    return rows.select(F.col("p")[0].cast("long").alias("l_orderkey"), F.col("p")[1].cast("int").alias("l_linenumber"), "problem")
+
+
+@_query(f"""select case when {_MOVE} > 6 then 'unmatched' when g = 'inventada' and p = 'real' then 'erro_tau' when g <> p then 'classe_trocada' when g = 'real' and l_partkey % 9 = 0 then 'id_errado' else 'acerto' end as category, count(*) as n
+from (select *, {_LABEL.format(x='l_suppkey')} as g, {_PRED_LABEL} as p from lineitem) group by all""")
+def error_category(spark, sf_dir):
+    rows = metric.aligned(*_cells(spark, sf_dir)).select("golds", "preds", F.explode_outer("pairs").alias("u"), F.size("golds").alias("n"))
+    g, p = F.element_at("golds", F.col("u.g") + 1), F.element_at("preds", F.col("u.p") + 1)
+    hits = rows.where("u is not null").select(metric.category(g["classe"], g["ids"], p["classe"], p["id"]).alias("category")).groupBy("category").count()
+    base = metric.aligned(*_cells(spark, sf_dir)).agg(F.sum(F.size("golds") - F.size("pairs")).alias("count"))
+    return hits.union(base.select(F.lit("unmatched"), "count")).withColumnRenamed("count", "n")
+
+
+@_query("select l_orderkey, string_agg(100 * l_linenumber || ',' || (100 * l_linenumber + 20) || ',real,' || l_suppkey || ',' || cast(cast(round_even(l_tax, 4) as decimal(6,4)) as varchar), '|' order by l_linenumber) as citacoes from lineitem group by all")
+def submission_cell(spark, sf_dir):
+    li = _lines(spark, sf_dir)
+    decided = li.select(F.col("l_orderkey").cast("string").alias("documento_id"), (100 * F.col("l_linenumber")).alias("inicio"), (100 * F.col("l_linenumber") + 20).alias("fim"), F.lit("x").alias("trecho"), F.lit("jurisprudencia").alias("tipo"), F.lit("real").alias("classificacao"), F.col("l_suppkey").alias("id_canonico"), F.col("l_tax").alias("confianca"))
+    rows = emit.submission(emit.documents(decided.select("documento_id").distinct(), decided))
+    return rows.select(F.col("documento_id").cast("long").alias("l_orderkey"), "citacoes")
+
+
+@_query("select c_custkey, count(o_orderkey) as citations from customer left join orders on c_custkey = o_custkey group by all")
+def assemble_document(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    decided = o.select(F.col("o_custkey").cast("string").alias("documento_id"), F.col("o_orderkey").cast("int").alias("inicio"), (F.col("o_orderkey") + 5).cast("int").alias("fim"), F.lit("x").alias("trecho"), F.lit("lei").alias("tipo"), F.lit("incompleta").alias("classificacao"), F.lit(None).cast("long").alias("id_canonico"), F.lit(None).cast("double").alias("confianca"))
+    rows = emit.documents(_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("documento_id")), decided)
+    return rows.select(F.col("documento_id").cast("long").alias("c_custkey"), F.size("citacoes").cast("long").alias("citations"))
+
+
+@_query("""select rule, count(*) as n from (select 'real and id' as rule from lineitem where l_partkey % 40 = 0 union all select 'confidence' from lineitem where l_partkey % 60 = 1) group by all""")
+def invariants(spark, sf_dir):
+    li = _lines(spark, sf_dir)
+    decided = li.select(F.col("l_orderkey").cast("string").alias("documento_id"), (30 * F.col("l_linenumber")).alias("inicio"), (30 * F.col("l_linenumber") + 10).alias("fim"), F.lit("aaaaaaaaaa").alias("trecho"), F.when(F.col("l_partkey") % 40 == 0, "inventada").otherwise("real").alias("classificacao"), F.col("l_suppkey").alias("id_canonico"), F.when(F.col("l_partkey") % 60 == 1, 1.5).otherwise(0.5).alias("confianca"))
+    docs = decided.select("documento_id").distinct().withColumn("texto", F.lit("a" * 400))
+    return checks.violations(docs, decided, docs.select("documento_id", F.lit("x").alias("citacoes"))).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- confidence: labels from lineitem
+_LABELLED_SQL = "x as (select l_suppkey as d, l_returnflag as m, l_linestatus as b, (l_tax > 0.04)::int as hit from lineitem)"
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    return _lines(spark, sf_dir).select(F.col("l_suppkey").cast("string").alias("documento_id"), F.col("l_returnflag").alias("metodo_decisao"), F.col("l_linestatus").alias("metodo_busca"), (F.col("l_tax") > 0.04).cast("int").alias("hit"))
+
+
+@_query(f"""with {_LABELLED_SQL} select case grouping(m, b) when 0 then 'fine' when 1 then 'coarse' else 'default' end as level, case grouping(m, b) when 0 then m || '|' || b when 1 then m else '' end as key,
+  round_even((sum(hit) + 1.0) / (count(*) + 2.0), 4) as confianca, sum(hit)::bigint as acertos, count(*) as total from x group by grouping sets ((m, b), (m), ())""")
+def fit_table(spark, sf_dir):
+    return fit.table(_labelled(spark, sf_dir))
+
+
+@_query(f"""with {_LABELLED_SQL}, f as (select m, b, sum(hit) h, count(*) n from x group by all), c as (select m, sum(hit) h, count(*) n from x group by all),
+df as (select d, m, b, sum(hit) h, count(*) n from x group by all), dc as (select d, m, sum(hit) h, count(*) n from x group by all),
+j as (select hit, f.h - df.h as fh, f.n - df.n as fn, c.h - dc.h as ch, c.n - dc.n as cn from x join f using (m, b) join c using (m) join df using (d, m, b) join dc using (d, m))
+select round(avg(power(case when fn > 0 then round_even((fh + 1.0) / (fn + 2.0), 4) else round_even((ch + 1.0) / (cn + 2.0), 4) end - hit, 2)), 9) as brier from j""")
+def lodo_brier(spark, sf_dir):
+    return fit.leave_one_out(_labelled(spark, sf_dir)).select(F.round("brier", 9).alias("brier"))
+
+
+@_query(f"""with {_LABELLED_SQL}, f as (select m, b, round_even((sum(hit) + 1.0) / (count(*) + 2.0), 4) as v from x group by all) select round(avg(power(v - hit, 2)), 9) as brier from x join f using (m, b)""")
+def brier_in_sample(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    return fit.brier(rows, fit.table(rows)).select(F.round("brier", 9).alias("brier"))
+
+
+@_query("""select l_orderkey, l_linenumber, case when l_returnflag = 'A' and l_linestatus = 'F' then 0.9 when l_returnflag in ('A', 'R') then 0.8 else 0.5 end as confianca from lineitem""")
+def calibrate_lookup(spark, sf_dir):
+    table = spark.createDataFrame([("fine", "A|F", 0.9), ("coarse", "A", 0.8), ("coarse", "R", 0.8), ("default", "", 0.5)], "level string, key string, confianca double")
+    rows = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("metodo_decisao"), F.col("l_linestatus").alias("metodo_busca"))
+    return resolve.calibrate(rows, table).select("l_orderkey", "l_linenumber", F.col("confianca"))
+
+
+# --- data quality
+@_query("""select count(*) as documents, count(*) filter (contains(text, chr(13) || chr(10))) as crlf, min(length(text)) as shortest, max(length(text)) as longest,
+  list_sort(list(length(text)))[(count(*) // 2 + 1)::int] as middle from documents""")
+def data_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("documento_id"), F.col("text").alias("texto"))
+    out = checks.text_report(docs)
+    return out.select("documents", "crlf", F.col("shortest").cast("long").alias("shortest"), F.col("longest").cast("long").alias("longest"), F.col("middle").cast("long").alias("middle"))
+
+
+@_query(f"with {_ORDERS_SQL} select 'acordao' as natureza, tribunal, count(*) as rows, count(distinct id) as ids from o group by all")
+def source_quality(spark, sf_dir):
+    return checks.source_report(_orders(spark, sf_dir).withColumn("natureza", F.lit("acordao")))
+
+
+@_query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def missing_documents(spark, sf_dir):
+    solution = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("documento_id"))
+    sent = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("documento_id")).distinct()
+    return metric.missing(solution, sent).select(F.col("documento_id").cast("long").alias("c_custkey"))
+
+
+@_query("""select doc_id, sha1(text) as hash, length(text) as n from documents""")
+def read_document(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("texto"))
+    return d.select("doc_id", F.sha1(F.encode("texto", "UTF-8")).alias("hash"), F.length("texto").cast("long").alias("n"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    """Citations decided against the catalogue."""
+    return decide_cardinality(spark, sf_dir)
