@@ -30,7 +30,7 @@ from attestra.llm.shingles import _BYTE, _INVERSE, _POWER, _mix
 
 WORDS, SHAPES, DIMS, NONZERO, WINDOW = 2028, 20, 48, 6, 2
 BUCKETS = WORDS + SHAPES
-TRAIN_ROWS, HIDDEN, EPOCHS, BATCH, RATE, DECAY = 20_000, 32, 60, 256, 3e-3, 1e-4
+TRAIN_ROWS, HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 20_000, 32, 60, 1_200, 256, 3e-3, 1e-4
 THRESHOLD = 0.3
 _U = np.uint64
 _PART = 1 << 21
@@ -163,9 +163,11 @@ def train(x: np.ndarray, y: np.ndarray, units: np.ndarray, seed: int = 7) -> Mod
     z = (x - center) / spread
     layers = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, 1)), np.zeros(1)]
     first, second, step = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers], 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        for rows in np.array_split(rng.permutation(used), max(1, len(used) // BATCH)):
+    batches = max(1, len(used) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))  # few rows are seen more often
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
+        for rows in np.array_split(rng.permutation(used), batches):
             hidden, logits = _forward(layers, z[rows])
             error = (1 / (1 + np.exp(-np.clip(logits, -60, 60))) - y[rows])[:, None] / len(rows)
             back = error @ layers[2].T * (1 - hidden**2)

@@ -80,7 +80,7 @@ def _cell(k: int):
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         ids, rows = table.column("vec_id").to_numpy(), matrix(table.column("vector"))
         # the smallest vector stands for an id that is repeated; rows by id, so that ties go to the smaller one
-        order = np.lexsort((*rows.T[::-1], ids))
+        order = np.lexsort((*rows.T[::-1], asks, ids))
         ids, rows, asks = ids[order], rows[order], asks[order]
         cand, query = ((mask & ~((ids == np.roll(ids, 1)) & mask & np.roll(mask, 1) & (np.arange(len(ids)) > 0))) for mask in (~asks, asks))
         ids_c, ids_q = ids[cand], ids[query]
