@@ -34,8 +34,10 @@ SEEDS = (
 )
 #: Words that names are often run together with.
 COMMON = ("farm", "win", "free", "online", "best", "shop", "store", "deal", "deals", "news", "blog", "mail", "play", "game", "games", "site", "web", "net", "my", "the", "and", "for", "king", "world", "top", "club", "live", "zone", "city", "now", "hub")
-SEED_WEIGHT, COMMON_WEIGHT, VOCABULARY, LONGEST = 50, 20, 50_000, 24
+SEED_WEIGHT, COMMON_WEIGHT, VOCABULARY, LONGEST = 200, 50, 50_000, 24
 MARGIN = 0.0
+#: Occurrences that a token's share among all tokens counts for in either class; log odds of a seed that no URL holds yet.
+SMOOTHING, SEED_ODDS = 50.0, 4.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_LETTERS = re.compile(r"[^a-z]+")
@@ -96,17 +98,22 @@ def tokens(host: str, path: str, words: Words, known: dict[str, list[str]]) -> l
 
 
 def fit_words(urls: DataFrame) -> Words:
-    """From all urls(host, path): runs of letters in each distinct host, and in paths; the VOCABULARY most common stay."""
+    """From all urls(host, path): runs of letters of at least two sites, and of paths; the VOCABULARY most common stay.
+
+    A name that only one site has, on whatever subdomains, may be words run together and is no word.
+    """
     runs = lambda c: F.explode(F.split(F.lower(c), "[^a-z]+")).alias("word")
-    every = urls.select("host").distinct().select(runs(F.col("host"))).union(urls.select(runs(F.col("path"))))
-    counted = every.where(f"length(word) between 1 and {LONGEST}").groupBy("word").count()
+    sites = urls.select("host").distinct().select(runs(F.col("host")), F.substring_index("host", ".", -2).alias("site")).distinct()
+    of_hosts = sites.groupBy("word").count().where("count > 1")
+    every = of_hosts.union(urls.select(runs(F.col("path"))).groupBy("word").count())
+    counted = every.where(f"length(word) between 1 and {LONGEST}").groupBy("word").agg(F.sum("count").alias("count"))
     top = counted.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
     counts = Counter({r[0]: r[1] for r in top})
     total = max(1, counts.total())
     for seeds, weight in ((SEEDS, SEED_WEIGHT), (COMMON, COMMON_WEIGHT)):
         for w in seeds:
-            # as common as a thousandth of all words, however large the corpus
-            counts[w] = max(counts[w], weight, total * weight // 50_000)
+            # a seed is as common as a hundredth of all words, however large the corpus
+            counts[w] = max(counts[w], weight, total * weight // 20_000)
     whole = counts.total()
     return Words({w: math.log(whole / n) for w, n in counts.items()}, math.log(whole + 1))
 
@@ -121,7 +128,7 @@ class Bayes:
 
 
 def fit_bayes(urls: DataFrame, words: Words) -> Bayes:
-    """Token counts of the two classes over all urls(host, path); add-one smoothing.
+    """Token counts of the two classes over all urls(host, path), smoothed towards both together.
 
     Tokens are counted within tasks before they are shuffled; the driver gets the VOCABULARY most common.
     """
@@ -144,10 +151,15 @@ def fit_bayes(urls: DataFrame, words: Words) -> Bayes:
     top = counted.orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(VOCABULARY).collect()
     bad, good = {r[0]: r[1] for r in top}, {r[0]: r[2] for r in top}
     n_bad, n_good = bad.pop("", 0), good.pop("", 0)
-    sums = sum(bad.values()) + len(bad) + 1, sum(good.values()) + len(good) + 1
-    odds = {t: math.log((bad[t] + 1) / sums[0]) - math.log((good[t] + 1) / sums[1]) for t in bad}
-    for w in SEEDS:  # a seed that no URL holds yet
-        odds.setdefault(f"h:{w}", math.log(2 / sums[0]) - math.log(1 / sums[1]))
+    sums = sum(bad.values()), sum(good.values())
+    whole = max(1, sum(sums))
+
+    def share(n: int, of: int, token: str) -> float:
+        return (n + SMOOTHING * (bad[token] + good[token]) / whole) / (of + SMOOTHING)
+
+    odds = {t: math.log(share(bad[t], sums[0], t) / share(good[t], sums[1], t)) for t in bad}
+    for w in SEEDS:
+        odds.setdefault(f"h:{w}", SEED_ODDS)
     return Bayes(odds, math.log((n_bad + 1) / (n_good + 1)))
 
 
