@@ -57,7 +57,7 @@ def leave_one_out(labelled: DataFrame) -> DataFrame:
 
 
 def bonus(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(metric.BONUS), metric.BONUS * (1 - value)))
+    return F.when(value.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(metric.BONUS), metric.BONUS * (1 - value))))
 
 
 def as_json(bands: DataFrame) -> str:

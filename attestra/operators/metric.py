@@ -167,7 +167,8 @@ def level_scores(table: DataFrame, by: tuple[str, ...] = ("nivel",)) -> DataFram
         F.try_divide(F.sum("brier_sum"), F.sum("brier_n")).alias("brier"),
     ).where("macro_f1 is not null")
     s = F.col("macro_f1") * (1 - GRAVE * F.col("tau"))
-    b = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(BONUS), BONUS * (1 - F.col("brier")))), F.lit(0.0))
+    # greatest and least pass over nulls
+    b = F.when(F.col("brier").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(BONUS), BONUS * (1 - F.col("brier")))))
     return rows.withColumns({"s": s, "bonus": b}).withColumn("score", F.col("s") * (1 + F.col("bonus")))
 
 

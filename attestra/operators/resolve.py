@@ -126,4 +126,4 @@ def calibrate(decided: DataFrame, table: DataFrame | None) -> DataFrame:
     rows = decided.withColumns({"_kf": F.concat_ws("|", method, how), "_kc": method, "_kd": F.lit("")})
     rows = rows.join(one("fine"), F.col("_kf") == F.col("_fine"), "left").join(one("coarse"), F.col("_kc") == F.col("_coarse"), "left").join(one("default"), F.col("_kd") == F.col("_default"), "left")
     value = F.coalesce("_v_fine", "_v_coarse", "_v_default")
-    return rows.select(*decided.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("confianca"))
+    return rows.select(*decided.columns, F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("confianca"))

@@ -154,3 +154,27 @@ def test_native_columns(spark):
 
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(K.header_end("t")).collect()] == [header_end(t) for t in texts]
+
+
+def test_harness_slices_are_exact(spark):
+    from attestra.operators import harness
+
+    decided = harness.run(spark, spark.range(1, 4).withColumn("id", F.col("id") * 100))
+    assert harness.inexact(decided).count() == 0 and decided.count() == 3 * len(harness.SLICES)
+    assert {r[0] for r in decided.select(harness.error_rows(decided)).collect()} == {"acerto"}
+    assert harness.scores(decided).first()["score"] == pytest.approx(1.0)
+    assert harness.inexact(harness.without(decided, ["desempate_classe"])).count() == 3
+    assert harness.scores(harness.projected(decided, False)).first()["macro_f1"] < 1
+    assert harness.judge_precision(harness.run(spark, spark.range(1), resolve.Rules(judge={"0,1": 0}))).first()["asked"] == 2
+    assert harness.diagnostics(decided).agg(F.sum("count")).first()[0] == decided.count()
+
+
+def test_no_confidence_gives_no_bonus_and_no_table_no_confidence(spark):
+    solution = spark.createDataFrame([("a", 1, "0,10,real,12")], "documento_id string, nivel int, citacoes string")
+    sent = spark.createDataFrame([("a", "0,10,real,12,-")], schemas.SUBMISSION)
+    row = metric.evaluate(solution, sent).first()
+    assert (row["bonus"], row["score"]) == (0.0, 1.0)
+    decided = spark.createDataFrame([("m", None), (None, "x")], "metodo_decisao string, metodo_busca string")
+    table = spark.createDataFrame([("fine", "m|-", 1.7), ("coarse", "-", -0.2)], "level string, key string, confianca double")
+    assert [r["confianca"] for r in resolve.calibrate(decided, table).collect()] == [1.0, 0.0]
+    assert {r["confianca"] for r in resolve.calibrate(decided, table.limit(0)).collect()} == {None}
