@@ -10,14 +10,15 @@ themselves, each distinct host once, and the seed words. A word that no count ho
 There are no labels for URLs, so classes come from seeds: URLs whose host is segmented into a seed word train the blocked
 class, all others the allowed one, over all URLs. What decides is the sum of the tokens'
 log odds plus the classes' prior, above a margin.
+
+Nothing is left out of the counts: words, segmentations, tokens and odds are written tables that grow with the URLs, and
+are joined with the distinct hosts and paths. Only sums are collected.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.llm.common import materialize
+
 #: Words of unwanted sites, and how many occurrences each adds to the unigram model.
 SEEDS = (
     "spam", "casino", "bet", "bets", "betting", "poker", "slots", "jackpot", "gambling", "lottery",
@@ -34,13 +37,13 @@ SEEDS = (
 )
 #: Words that names are often run together with.
 COMMON = ("farm", "win", "free", "online", "best", "shop", "store", "deal", "deals", "news", "blog", "mail", "play", "game", "games", "site", "web", "net", "my", "the", "and", "for", "king", "world", "top", "club", "live", "zone", "city", "now", "hub")
-SEED_WEIGHT, COMMON_WEIGHT, VOCABULARY, LONGEST = 200, 50, 50_000, 24
+SEED_WEIGHT, COMMON_WEIGHT, LONGEST = 200, 50, 24
 MARGIN = 0.0
-#: Occurrences that a token's share among all tokens counts for in either class; log odds of a seed that no URL holds yet.
-SMOOTHING, SEED_ODDS = 50.0, 4.0
+#: Occurrences that a token's share among all tokens counts for in either class.
+SMOOTHING = 50.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NOT_LETTERS = re.compile(r"[^a-z]+")
+_EXACT = "decimal(28,16)"
 
 
 def parts(url: str = "url") -> tuple[Column, Column]:
@@ -82,85 +85,73 @@ class Words:
         return out[::-1]
 
 
-def tokens(host: str, path: str, words: Words, known: dict[str, list[str]]) -> list[str]:
-    """Host words as h:word, without the last label (the domain's own suffix), and path words as p:word."""
-    labels = host.partition(":")[0].split(".")
-    out = []
-    for label in labels[:-1] if len(labels) > 1 else labels:
-        for run in _NOT_LETTERS.split(label.lower()):
-            if run:
-                if run not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[run] = words.split(run)
-                out += [f"h:{w}" for w in known[run]]
-    return out + [f"p:{w}" for w in _NOT_LETTERS.split(path.lower()) if w]
+def _runs(text: Column) -> Column:
+    """The runs of letters of a text, lower-cased."""
+    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
 
 
-def fit_words(urls: DataFrame) -> Words:
-    """From all urls(host, path): runs of letters of at least two sites, and of paths; the VOCABULARY most common stay.
+def _host_runs(host: str = "host") -> Column:
+    """The runs of letters of a host without its port and its last label (the domain's own suffix)."""
+    labels = F.split(F.substring_index(host, ":", 1), r"\.")
+    return _runs(F.array_join(F.when(F.size(labels) > 1, F.slice(labels, F.lit(1), F.size(labels) - 1)).otherwise(labels), "."))
 
-    A name that only one site has, on whatever subdomains, may be words run together and is no word.
-    """
-    runs = lambda c: F.explode(F.split(F.lower(c), "[^a-z]+")).alias("word")
-    sites = urls.select("host").distinct().select(runs(F.col("host")), F.substring_index("host", ".", -2).alias("site")).distinct()
-    of_hosts = sites.groupBy("word").count().where("count > 1")
-    every = of_hosts.union(urls.select(runs(F.col("path"))).groupBy("word").count())
-    counted = every.where(f"length(word) between 1 and {LONGEST}").groupBy("word").agg(F.sum("count").alias("count"))
-    top = counted.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
-    counts = Counter({r[0]: r[1] for r in top})
-    total = max(1, counts.total())
-    for seeds, weight in ((SEEDS, SEED_WEIGHT), (COMMON, COMMON_WEIGHT)):
-        for w in seeds:
-            # a seed is as common as a hundredth of all words, however large the corpus
-            counts[w] = max(counts[w], weight, total * weight // 20_000)
-    whole = counts.total()
-    return Words({w: math.log(whole / n) for w, n in counts.items()}, math.log(whole + 1))
-
-
-@dataclass
-class Bayes:
-    odds: dict[str, float]
-    prior: float
 
-    def blocked(self, found: list[str]) -> bool:
-        return self.prior + sum(self.odds.get(t, 0.0) for t in found) > MARGIN
+def fit_words(pairs: DataFrame) -> DataFrame:
+    """word and count, written, from distinct pairs(host, path, n): runs of letters of at least two sites, of paths, and the seeds.
 
+    A name that only one site has, on whatever subdomains, may be words run together and is no word.
+    """
+    sites = pairs.select("host").distinct().select(F.explode(_runs(F.col("host"))).alias("word"), F.substring_index("host", ".", -2).alias("site")).distinct()
+    of_hosts = sites.groupBy("word").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    of_paths = pairs.select(F.explode(_runs(F.col("path"))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("count"))
+    every = of_hosts.union(of_paths).where(f"length(word) <= {LONGEST}").groupBy("word").agg(F.sum("count").alias("count"))
+    counted = materialize(every, "url-counted")
+    total = max(1, counted.agg(F.sum("count")).first()[0] or 0)
+    # a seed is as common as a hundredth of all words, however large the corpus
+    seeds = [(w, max(weight, total * weight // 20_000)) for found, weight in ((SEEDS, SEED_WEIGHT), (COMMON, COMMON_WEIGHT)) for w in found]
+    seeded = counted.union(pairs.sparkSession.createDataFrame(seeds, "word string, count bigint"))
+    return materialize(seeded.groupBy("word").agg(F.max("count").alias("count")), "url-words")
+
+
+def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """run and words for distinct runs(run): each is joined with the counts of those of its parts that are words."""
+    whole = words.agg(F.sum("count")).first()[0]
+
+    def split(names: pa.Array, known: pa.Array) -> pa.Array:
+        made = []
+        for name, counts in zip(names.to_pylist(), known.to_pylist(), strict=True):
+            costs = {c["word"]: math.log(whole / c["count"]) for c in counts or ()}
+            made.append(Words(costs, math.log(whole + 1)).split(name))
+        return pa.array(made, pa.list_(pa.string()))
+
+    within = f"transform(sequence(1, length(run)), s -> transform(sequence(1, least({LONGEST}, length(run) - s + 1)), k -> substring(run, s, k)))"
+    parts_of = runs.select("run", F.explode(F.array_distinct(F.flatten(F.expr(within)))).alias("word"))
+    known = parts_of.join(words, "word").groupBy("run").agg(F.collect_list(F.struct("word", "count")).alias("known"))
+    return materialize(runs.join(known, "run", "left").select("run", F.arrow_udf(split, T.ArrayType(T.StringType()))("run", "known").alias("words")), "url-segmented")
+
+
+def fit_bayes(pairs: DataFrame, host_tokens: DataFrame) -> tuple[DataFrame, float]:
+    """token and odds of every token, written, and the classes' prior.
+
+    pairs: distinct (host, path, n); host_tokens: host, token and times. Both classes are smoothed towards both together.
+    """
+    trained = materialize(host_tokens.where(F.col("token").isin([f"h:{w}" for w in SEEDS])).select("host", F.lit(True).alias("seeded")).distinct(), "url-seeded")
+    marked = pairs.join(trained, "host", "left").withColumn("seeded", F.coalesce("seeded", F.lit(False)))
+    hosts = marked.groupBy("host", "seeded").agg(F.sum("n").alias("n"))
+    of_hosts = host_tokens.join(materialize(hosts, "url-hosts"), "host").select("token", "seeded", (F.col("times") * F.col("n")).alias("n"))
+    of_paths = marked.select(F.explode(_path_tokens()).alias("token"), "seeded", "n")
+    of_class = lambda seeded: F.sum(F.when(F.col("seeded") == seeded, F.col("n")).otherwise(0))
+    counts = materialize(of_hosts.union(of_paths).groupBy("token").agg(of_class(True).alias("bad"), of_class(False).alias("good")), "url-tokens")
+    n_bad, n_good = (x or 0 for x in marked.agg(of_class(True), of_class(False)).first())
+    sums = [x or 0 for x in counts.agg(F.sum("bad"), F.sum("good")).first()]
+    both = F.lit(SMOOTHING) * (F.col("bad") + F.col("good")) / F.lit(float(max(1, sum(sums))))
+    share = lambda c, of: (F.col(c) + both) / F.lit(of + SMOOTHING)
+    odds = counts.select("token", F.log(share("bad", sums[0]) / share("good", sums[1])).cast(_EXACT).alias("odds"))
+    return materialize(odds, "url-odds"), math.log((n_bad + 1) / (n_good + 1))
 
-def fit_bayes(urls: DataFrame, words: Words) -> Bayes:
-    """Token counts of the two classes over all urls(host, path), smoothed towards both together.
 
-    Tokens are counted within tasks before they are shuffled; the driver gets the VOCABULARY most common.
-    """
-    seeds = frozenset(SEEDS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
-        for batch in batches:
-            counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                found = tokens(host, path, words, known)
-                bad = any(t[2:] in seeds for t in found if t[0] == "h")
-                counts[bad].update(found)
-                counts[bad][""] += 1
-            rows = [(t, c[t] if bad else 0, 0 if bad else c[t]) for bad, c in counts.items() for t in c]
-            columns = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["token", "bad", "good"])
-
-    counted = urls.select("host", "path").mapInArrow(run, "token string, bad bigint, good bigint").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    top = counted.orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(VOCABULARY).collect()
-    bad, good = {r[0]: r[1] for r in top}, {r[0]: r[2] for r in top}
-    n_bad, n_good = bad.pop("", 0), good.pop("", 0)
-    sums = sum(bad.values()), sum(good.values())
-    whole = max(1, sum(sums))
-
-    def share(n: int, of: int, token: str) -> float:
-        return (n + SMOOTHING * (bad[token] + good[token]) / whole) / (of + SMOOTHING)
-
-    odds = {t: math.log(share(bad[t], sums[0], t) / share(good[t], sums[1], t)) for t in bad}
-    for w in SEEDS:
-        odds.setdefault(f"h:{w}", SEED_ODDS)
-    return Bayes(odds, math.log((n_bad + 1) / (n_good + 1)))
+def _path_tokens() -> Column:
+    return F.transform(_runs(F.col("path")), lambda w: F.concat(F.lit("p:"), w))
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -172,15 +163,18 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame
     """
     host, path = parts()
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    words = fit_words(urls)
-    bayes = fit_bayes(urls, words)
-    shared = pages.sparkSession.sparkContext.broadcast((words, bayes))  # at most VOCABULARY words each
-
-    def run(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        known: dict[str, list[str]] = {}
-        words, bayes = shared.value
-        return pa.array([bayes.blocked(tokens(h, p, words, known)) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)], pa.bool_())
-
+    pairs = materialize(urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "url-pairs")
+    runs = materialize(pairs.select("host").distinct().select("host", F.explode(_host_runs()).alias("run")), "url-runs")
+    words = segmented(runs.select("run").distinct(), fit_words(pairs))
+    of_host = runs.join(words, "run").select("host", F.explode("words").alias("word"))
+    host_tokens = materialize(of_host.groupBy("host", F.concat(F.lit("h:"), "word").alias("token")).agg(F.count(F.lit(1)).alias("times")), "url-host-tokens")
+    odds, prior = fit_bayes(pairs, host_tokens)
+
+    # sums of decimals don't depend on the order of their rows
+    of_hosts = host_tokens.join(odds, "token").groupBy("host").agg(F.sum(F.col("odds") * F.col("times")).cast(_EXACT).alias("of_host"))
+    of_paths = pairs.select("path").distinct().select("path", F.explode(_path_tokens()).alias("token")).join(odds, "token").groupBy("path").agg(F.sum("odds").cast(_EXACT).alias("of_path"))
+    found = urls.join(materialize(of_hosts, "url-of-hosts"), "host", "left").join(materialize(of_paths, "url-of-paths"), "path", "left")
+    score = F.lit(prior) + sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("of_host", "of_path")), F.lit(0.0))
     rule, verdict = longest_rule(rules)
-    own = F.when(F.arrow_udf(run, T.BooleanType())("host", "path"), "block").otherwise("allow")
-    return urls.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
+    own = F.when(score > MARGIN, "block").otherwise("allow")
+    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))

@@ -166,6 +166,15 @@ def test_url_rules_and_classifier(spark):
     assert url_filter.judged(df.limit(0), rules).count() == 0
 
 
+def test_url_classifier_counts_rare_tokens(spark):
+    # 50,100 path words of five URLs each, and one of the blocked class that is rarer than all of them
+    word = F.translate((F.col("id") % 50_100 + 100_000).cast("string"), "0123456789", "abcdefghij")
+    many = spark.range(250_500).select("id", F.concat(F.lit("http://plain.net/"), word).alias("url"))
+    few = spark.createDataFrame([(-1, "http://casino.net/zrare"), (-2, "http://casino.net/zrare"), (-3, "http://other.net/zrare/zrare"), (-4, "http://other.net/x")], "id long, url string")
+    got = url_filter.judged(many.union(few).withColumnRenamed("id", "page_id"), ()).where("page_id < 0").collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {-1: "block", -2: "block", -3: "block", -4: "allow"}
+
+
 def test_text_columns(spark):
     df = _docs(spark, [(1, "mail a@b.cd or +1 (389) 555-5010"), (2, None), (3, ""), (3, "clean"), (4, "<p>x" * 3)])
     out = {(r["doc_id"], r["spans"]) for r in pii.pii_digest(df).collect()}
