@@ -151,15 +151,23 @@ def payload_of(block: bytes, digest: str) -> tuple[bytes | None, str | None]:
     return payload, None
 
 
+#: The problem of a record whose key can't be read; its payload can.
+UNREAD_KEY = "record key"
 _FIELDS = ("record_id", "record_type", "key", "target_uri", "digest")
 _HEAD = T.StructType().add("record_id", "string").add("record_type", "string").add("key", "long").add("target_uri", "string").add("digest", "string")
 _WHOLE = T.StructType([*_HEAD.fields]).add("payload", "binary").add("problem", "string")
-_PART = T.StructType([T.StructField("origin", T.StringType()), *_HEAD.fields]).add("number", "long").add("total", "long").add("block", "binary")
+_PART = T.StructType([T.StructField("origin", T.StringType()), *_HEAD.fields]).add("unread", "string").add("number", "long").add("total", "long").add("block", "binary")
 
 
-def _named(f: dict[str, str]) -> tuple:
-    key = f.get("record-key", "")
-    return f.get("warc-record-id"), f.get("warc-type"), int(key) if re.fullmatch("-?[0-9]{1,18}", key) else None, f.get("warc-target-uri"), f.get("warc-payload-digest")
+def _key(text: str) -> tuple[int | None, str | None]:
+    """A record's key, null if it states none, and a problem if what it states is no 64-bit number."""
+    if re.fullmatch("-?[0-9]{1,19}", text) and -(1 << 63) <= (key := int(text)) < 1 << 63:
+        return key, None
+    return None, UNREAD_KEY if text else None
+
+
+def _named(f: dict[str, str], key: int | None) -> tuple:
+    return f.get("warc-record-id"), f.get("warc-type"), key, f.get("warc-target-uri"), f.get("warc-payload-digest")
 
 
 def _inflated(content: bytes) -> bytes:
@@ -184,13 +192,14 @@ def _scan(files: DataFrame, parts: bool) -> DataFrame:
                 rows = []
                 for f, block, problem in parse(_inflated(content.as_py())):
                     segmented = "warc-segment-number" in f
+                    key, unread = _key(f.get("record-key", ""))
                     if segmented and parts and not problem:
-                        rows.append((f.get("warc-segment-origin-id") or f.get("warc-record-id"), *_named(f), number(f["warc-segment-number"]), number(f.get("warc-segment-total-length")), block))
+                        rows.append((f.get("warc-segment-origin-id") or f.get("warc-record-id"), *_named(f, key), unread, number(f["warc-segment-number"]), number(f.get("warc-segment-total-length")), block))
                     elif problem and not parts or not segmented and not parts:
                         payload = None
                         if not problem and f.get("warc-type") == "response":
                             payload, problem = payload_of(block, f.get("warc-payload-digest", ""))
-                        rows.append((*_named(f), payload, problem))
+                        rows.append((*_named(f, key), payload, problem or unread))
                 columns = zip(*rows) if rows else [()] * len(schema.fields)
                 yield pa.RecordBatch.from_arrays([pa.array(x, kinds[field.dataType.simpleString()]) for x, field in zip(columns, schema.fields, strict=True)], schema.names)
 
@@ -216,14 +225,17 @@ def _assembled(segments: DataFrame) -> DataFrame:
         return pa.array(out, arrow)
 
     # the parts of one record are as large as that record; which of them is where in the files doesn't matter
-    first = F.min(F.when(F.col("number") == 1, F.struct(*_FIELDS))).alias("f")
+    first = F.min(F.when(F.col("number") == 1, F.struct(*_FIELDS, "unread"))).alias("f")
     grouped = segments.groupBy("origin").agg(first, F.sort_array(F.collect_list(F.struct("number", "total", "block"))).alias("parts"))
     read = F.arrow_udf(join, schema)("parts", F.col("f.digest")).alias("r")
-    return grouped.select("f.*", "origin", read).select(F.coalesce("record_id", "origin").alias("record_id"), *_FIELDS[1:], "r.payload", "r.problem")
+    return grouped.select("f.*", "origin", read).select(F.coalesce("record_id", "origin").alias("record_id"), *_FIELDS[1:], "r.payload", F.coalesce("r.problem", "unread").alias("problem"))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, record_type, key, target_uri, digest (as stated), payload (decoded, null for revisits) and problem."""
+    """record_id, record_type, key, target_uri, digest (as stated), payload (decoded, null for revisits) and problem.
+
+    A key that is no signed 64-bit number is null, with the problem "record key" unless there is a graver one.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     return _scan(files, False).union(_assembled(_scan(files, True)))
 
@@ -236,7 +248,7 @@ def resolved(records: DataFrame) -> DataFrame:
     facts = records.select("key", "record_type", "digest", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "problem")
     facts = materialize(facts, "records")
     responses = facts.where("record_type is null or record_type <> 'revisit'")
-    held = responses.where("problem is null").groupBy("digest").agg(F.max("key").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    held = responses.where(F.col("problem").isNull() | (F.col("problem") == UNREAD_KEY)).groupBy("digest").agg(F.max("key").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
     revisits = facts.where("record_type = 'revisit'").select("key", "record_type", "digest", F.col("problem").alias("own"))
     named = materialize(revisits.select("digest").distinct().join(held, "digest"), "held")
     found = revisits.join(named, "digest", "left")

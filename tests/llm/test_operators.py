@@ -110,6 +110,18 @@ def test_archive_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archive_keys_of_64_bits(spark, tmp_path):
+    same, ids = "z" * 1500, (10**18, 2**63 - 1, -(2**63), 5)
+    df = spark.createDataFrame([(i, "u", same if i > 0 else "y" * 9000) for i in ids], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["problem"]) for r in warc.round_trip(df, 4096).collect()}
+    assert got == {10**18: ("revisit", 2**63 - 1, None), 2**63 - 1: ("response", None, None), -(2**63): ("response", None, None), 5: ("revisit", 2**63 - 1, None)}
+    made = [r for key, uri, size, revisits in (("", "none", 9, False), (str(2**63), "large", 1500, False), ("x7", "word", 9000, False), ("8", "again", 1500, True)) for r in warc._records(key, uri, b"q" * size, revisits, 4096)]
+    (tmp_path / "a.warc").write_bytes(b"".join(r + b"\r\n" for r in made))
+    read = warc.read_archive(spark, str(tmp_path)).cache()
+    assert {r["target_uri"]: (r["key"], r["problem"]) for r in read.collect()} == {"none": (None, None), "large": (None, "record key"), "word": (None, "record key"), "again": (8, None)}
+    assert [(r["payload_bytes"], r["problem"]) for r in warc.resolved(read).where("key = 8").collect()] == [(1500, None)]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), rng.integers(-5, 6, 4).astype(float).tolist(), "x") for i in range(90)] + [(200, None, "x"), (220, [1.0, None, 1.0, 1.0], "x"), (240, [float("nan")] * 4, "x"), (260, [1.0, 2.0], "x"), (40, [9.0] * 4, "x"), (None, [1.0] * 4, "x")]
