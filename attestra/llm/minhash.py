@@ -174,6 +174,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, coor
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns; of rows that repeat a doc_id, all or none."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates among the rows of docs(doc_id, text, ...), with all its columns.
+
+    Rows are compared, whether they repeat a doc_id, have another text under one, or have none. Of a group the row with the
+    smallest doc_id stays, null last; of equal ids that with the least hash of its columns. Rows without words all stay.
+    """
+    # a doc_id of one row is that row's key, and its text is read where it lies; other rows get a key and are written, with a
+    # chance of about n * m / 2^64 that one of n such keys is one of m ids
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1 or doc_id is null")
+    repeated = materialize(repeated.select(F.col("doc_id").alias("_id")), "repeated")
+    hashed = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    same = docs["doc_id"].eqNullSafe(F.col("_id"))
+    keyed = docs.select("*", hashed.alias("_tie")).join(repeated, same, "left_semi").withColumn("_row", F.xxhash64(F.lit("row"), F.monotonically_increasing_id()))
+    single = docs.join(repeated, same, "left_anti").select("*", F.lit(0).cast("long").alias("_tie"), F.col("doc_id").cast("long").alias("_row"))
+    rows = single.union(materialize(keyed, "rows"))
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("_row"), "component_id")
+    found = materialize(found, "found")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_tie"), F.col("_row"))
+    first = rows.select("_row", order.alias("first")).join(found, "_row").groupBy("component_id").agg(F.min("first").alias("first"))
+    gone = materialize(found.select("_row").join(first.select("first._row"), "_row", "left_anti"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

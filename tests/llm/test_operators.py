@@ -71,6 +71,16 @@ def test_near_duplicates(spark, monkeypatch):
     assert minhash.near_duplicates(_docs(spark, [])).count() == 0
 
 
+def test_near_duplicate_rows_are_dropped_by_row(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(5))
+    # repeated rows, copies without an id, and ids with a second text that has copies elsewhere or none
+    texts = [(1, a), (1, a), (1, a + " end"), (None, a), (None, b), (None, b), (2, c), (2, d), (3, d), (3, e), (4, None), (4, None), (0, c)]
+    got = [(r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(_docs(spark, texts)).collect()]
+    assert sum(i == 1 for i, _ in got) == 1
+    assert sorted((x for x in got if x[0] != 1), key=str) == sorted([(0, c), (2, d), (3, e), (None, b), (4, None), (4, None)], key=str)
+
+
 def test_packed_documents(spark):
     rng = random.Random(1)
     texts = [(k, " ".join(rng.choices(["alpha", "Beta!", "γ", "12"], k=rng.randint(0, 60)))) for k in range(80)] + [(90, None), (91, ""), (92, "word " * 300), (3, "again"), (None, "x")]
