@@ -79,6 +79,22 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, floor))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Each start with the farthest end of a group that mod 97 confirms; words and numbers that follow may look like groups."""
+    m = _IBAN.search(text)
+    while m:
+        start, at = m.start(), m.start() + 1
+        for end in (m.end(), *(k for k in range(m.end() - 1, start, -1) if text[k] == " ")):
+            iban = text[start:end].replace(" ", "")
+            if len(iban) < 15:
+                break
+            if mod97(iban):
+                yield start, end
+                at = end
+                break
+        m = _IBAN.search(text, at)
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in _emails(text):
         yield "email", start, end
@@ -91,9 +107,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _PHONE.finditer(text):
         if 9 <= len(_digits(m[0])) <= 15:
             yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", *m.span()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for m in _SSN.finditer(text):
         yield "ssn", *m.span()
 

@@ -195,6 +195,16 @@ def test_added_spans_context_and_redaction():
         pii.spans(long)
 
 
+def test_ibans_before_words_and_numbers():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for after in ("", " BIC COBADEFFXXX", " 2024", " AND", " GB82 WEST 1234 5698 7654 32"):
+        for before in ("", "AB12 "):
+            text = before + iban + after
+            found = [text[s[1] : s[2]] for s in pii.spans(text) if s[0] == "iban"]
+            assert found == [iban, *([after[1:]] if after.startswith(" GB") else [])], text
+
+
+
 # --- 6
 @pytest.mark.parametrize("page,text", [
     (None, None), ("", ""), ("plain", "plain"), ("<p>one<p>two <b>x</b>", "one\n\ntwo x"), ("a<br>b", "a\nb"), ("<ul><li>a<li>b<ol><li>c</ol></ul>d", "- a\n- b\n  1. c\n\nd"),
