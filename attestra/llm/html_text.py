@@ -14,8 +14,9 @@ quotes and figures have an empty line around them; br breaks the line. List item
 their number. The cells of a table stand in columns padded to the widest (by code points), with two spaces between; a
 cell's own lines are joined by a space; nested tables are rendered in their cell. A column span moves the cells after it.
 
-Everything is linear in the page but for the padding of tables, which is bounded: a table whose padding would exceed
-MAX_PADDING characters has its cells joined by tabs instead. Depth of nesting is not bounded and costs no stack.
+Everything is linear in the page but for the padding of tables, which is bounded by their text: a table whose padding is
+over MAX_PADDING characters and over PADDING_RATIO times its text has its cells joined by tabs instead, for a page's text
+is one value. Depth of nesting is not bounded and costs no stack.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ import html
 import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_PADDING = 1_000_000
+MAX_PADDING, PADDING_RATIO = 1_000_000, 8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -256,7 +258,12 @@ def _number(text: str | None, default: int) -> int:
 def _aligned(rows: list[list[str]]) -> str:
     width = max(map(len, rows), default=0)
     widths = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(width)]
-    if sum(widths) * len(rows) > MAX_PADDING:
+    starts = [0, *accumulate(w + 2 for w in widths)]
+    text = sum(len(c) for r in rows for c in r)
+    # a row is padded up to its last cell with text
+    last = [max((k for k, c in enumerate(r) if c), default=0) for r in rows]
+    padding = sum(starts[k] + len(r[k]) if r else 0 for k, r in zip(last, rows)) - text
+    if padding > max(MAX_PADDING, PADDING_RATIO * text):
         return "\n".join("\t".join(r).rstrip() for r in rows)
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows)
 

@@ -221,6 +221,15 @@ def test_page_text_is_linear():
         html_text.page_text(page)
 
 
+def test_large_tables_are_aligned():
+    # hardly any padding, then none but what the text can bear, then far more
+    dense = "<table>" + "".join(f"<tr><td>{'x' * (99 + k % 2)}<td>{'y' * 100}" for k in range(6000)) + "</table>"
+    assert set(map(len, html_text.page_text(dense).split("\n"))) == {202}
+    wide = lambda n: "<table><tr><td>" + "x" * n + "<td>y" + "<tr><td>a<td>b" * 20_000 + "</table>"
+    assert html_text.page_text(wide(40)).split("\n")[-1] == "a" + " " * 41 + "b"
+    assert html_text.page_text(wide(20_000)).endswith("\na\tb")
+
+
 # --- 7
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(2)
