@@ -7,12 +7,14 @@ styles and the like are raw until their own end tag. Comments, declarations and
 Character references are resolved in text and attributes.
 
 Visibility: nothing of the head, scripts, templates and other elements without a rendering; nothing that is hidden by
-attribute or by an inline style's display:none or visibility:hidden. All other text comes out.
+attribute or by an inline style's display:none or visibility:hidden. All other text comes out: of svg its text elements and
+foreign content, of a select the option that is shown (all of them if it shows several), of math all but its annotations.
 
 Layout: white space collapses outside pre and textarea; blocks start on lines of their own, and headings, paragraphs, lists, tables,
 quotes and figures have an empty line around them; br breaks the line. List items are indented by depth and begin with "- " or
 their number. The cells of a table stand in columns padded to the widest (by code points), with two spaces between; a
-cell's own lines are joined by a space; nested tables are rendered in their cell. A column span moves the cells after it.
+cell's own lines are joined by a space; nested tables are rendered in their cell. A column span moves the cells after it, and a row span those below and after
+it, to the end of its row group.
 
 Everything is linear in the page but for the padding of tables, which is bounded by their text: a table whose padding is
 over MAX_PADDING characters and over PADDING_RATIO times its text has its cells joined by tabs instead, for a page's text
@@ -36,7 +38,9 @@ MAX_PADDING, PADDING_RATIO = 1_000_000, 8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist select".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas datalist annotation annotation-xml mphantom".split())
+#: What svg has that is drawn nowhere or only where it is used; of the rest only text and foreign content are read.
+_SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr".split())
 BLOCK = SPACED | frozenset("html body div section article aside nav header footer main address form fieldset legend details summary dt dd li caption tr thead tbody tfoot td th center figcaption hgroup search dir option optgroup textarea xmp".split())
 #: What a start tag ends when it is open, and what it isn't sought beyond.
@@ -197,6 +201,28 @@ def _visible(node: Node) -> bool:
     return not style or not _HIDING.search(style)
 
 
+def _below(node: Node) -> list:
+    """The children of a node that may be seen; of svg and select those that a browser shows, wherever they stand in it."""
+    if node.name not in ("svg", "select"):
+        return node.children
+    found, stack = [], node.children[::-1]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or not _visible(x):
+            continue
+        if x.name in (("text", "foreignobject") if node.name == "svg" else ("option",)):
+            found.append(x)
+        elif node.name == "select" or x.name not in _SVG_UNSEEN:
+            stack += x.children[::-1]
+    if node.name == "svg":
+        return [y for x in found for y in (" ", x, " ")]
+    options = [Node("option", x.attributes, [x.attributes["label"]]) if x.attributes.get("label") else x for x in found]
+    if "multiple" in node.attributes or _number(node.attributes.get("size"), 1) > 1:
+        return options
+    chosen = [x for x in options if "selected" in x.attributes][-1:] or [x for x in options if "disabled" not in x.attributes] or options
+    return [" ", *chosen[0].children, " "] if chosen else []
+
+
 class _Lines:
     """Rendered lines; gap is how many line ends stand before what comes next."""
 
@@ -278,7 +304,7 @@ def _plain(node: Node) -> str:
         elif x.name == "br":
             out.append("\n")
         elif x is node or _visible(x):
-            stack += x.children[::-1]
+            stack += _below(x)[::-1]
     return "".join(out).replace("\r\n", "\n").replace("\r", "\n").strip("\n")
 
 
@@ -316,7 +342,10 @@ def render(root: Node) -> str:
                 continue
             if name == "table":
                 lines.gap()
-                tables.append({"rows": [], "caption": "", "depth": len(frames)})
+                tables.append({"rows": [], "caption": "", "depth": len(frames), "held": {}})
+            elif name in ("thead", "tbody", "tfoot") and tables:
+                tables[-1]["held"] = {}
+                lines.line()
             elif name == "tr" and tables:
                 tables[-1]["rows"].append([])
                 tables[-1]["own"] = len(frames)
@@ -340,7 +369,7 @@ def render(root: Node) -> str:
                 work.append(("item", lines.prefix))
                 lines.marker, lines.prefix = indent + at, indent + " " * len(at)
             work.append(("out", x))
-            work += [("in", c) for c in reversed(x.children)]
+            work += [("in", c) for c in reversed(_below(x))]
         elif action == "item":
             lines.line()
             lines.prefix, lines.marker = x, ""
@@ -361,7 +390,18 @@ def render(root: Node) -> str:
                 else:
                     if not made["rows"]:
                         made["rows"].append([])
-                    made["rows"][-1] += [text, *[""] * (min(50, _number(x.attributes.get("colspan"), 1)) - 1)]
+                    row, held, at = made["rows"][-1], made["held"], len(made["rows"]) - 1
+                    # held: of each column the last row that a cell from above stands in
+                    while held.get(len(row), -1) >= at:
+                        row.append("")
+                    first = len(row)
+                    row += [text, *[""] * (min(50, _number(x.attributes.get("colspan"), 1)) - 1)]
+                    if (span := _number(x.attributes.get("rowspan"), 1)) != 1 and span >= 0:
+                        # 0 stands for the rest of the row group
+                        held.update(dict.fromkeys(range(first, len(row)), at + span - 1 if span else 1 << 30))
+            elif name in ("thead", "tbody", "tfoot") and tables:
+                tables[-1]["held"] = {}
+                lines.line()
             elif name in ("ul", "ol", "menu", "dir"):
                 lists.pop()
                 nested = lists and lists[-1][0] != "cell"

@@ -230,6 +230,18 @@ def test_large_tables_are_aligned():
     assert html_text.page_text(wide(20_000)).endswith("\na\tb")
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds", "so x=2 holds"),
+    ("a<svg><title>t</title><defs><text>no</text></defs><style>s</style><g>no<text>one</text><text>two <tspan>three</tspan></text></g></svg>b", "a one two three b"),
+    ("Size <select><option>S<option selected>M<option>L</select>.", "Size M ."), ("<select><optgroup label=g><option disabled>pick<option>S<option>M</select>", "S"),
+    ("<select multiple><option>S<option>M</select>", "S\nM"), ("<pre>a <svg>no<text>b</text></svg></pre>", "a  b"), ("<select></select>x", "x"),
+    ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f</table>", "a  b  c\n   d  e\nf"),
+    ("<table><tbody><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>", "a  b    c\nd       e\nf  g"),
+])
+def test_page_text_of_formulas_drawings_choices_and_row_spans(page, text):
+    assert html_text.page_text(page) == text
+
+
 # --- 7
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(2)
