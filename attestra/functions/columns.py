@@ -46,6 +46,7 @@ statute = _arrow(_or_null(keys.statute), T.StringType())
 court = _arrow(_or_null(lambda t: (keys.names(t, "court") or [None])[0]), T.StringType())
 comparable = _arrow(_or_null(keys.comparable), T.StringType())
 signature = _arrow(_or_null(keys.signature), T.StringType())
+trimmed = _arrow(_or_null(lambda t: dict(zip(("inicio", "fim"), citation_spans.trimmed(t, 0, len(t)), strict=True))), T.StructType().add("inicio", T.IntegerType()).add("fim", T.IntegerType()))
 candidate_spans = _arrow(lambda t: [dict(zip(CANDIDATE_SPAN.names, s, strict=True)) for s in citation_spans.candidates(t)], _SPANS)
 #: Seeded by a digest of the row's key and the seed, so that no partitioning matters.
 noisy = _arrow(lambda t, key, seed: citation_spans.noisy(t, int.from_bytes(hashlib.sha256(f"{seed}:{key}".encode()).digest()[:8], "big")), T.StringType())

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import uuid
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.plans.schemas import TRACE_COLUMNS
@@ -55,8 +60,46 @@ def from_gold(gold: DataFrame) -> DataFrame:
 
 
 def write_submission(rows: DataFrame, folder: str) -> None:
-    """One CSV file, by document; as small as the list of documents."""
-    rows.orderBy("documento_id").coalesce(1).write.mode("overwrite").csv(folder, header=True)
+    """CSV files without headers, in order by document from one to the next; one_file() makes them one."""
+    rows.select("documento_id", "citacoes").orderBy("documento_id").write.mode("overwrite").csv(folder)
+
+
+def one_file(spark: SparkSession, folder: str, path: str, header: str = "documento_id,citacoes") -> None:
+    """The part files of a folder behind a header, copied as they are, so no task holds all rows."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    source, target = at(folder), at(path)
+    files, out = source.getFileSystem(conf), target.getFileSystem(conf).create(target, True)
+    try:
+        out.write(bytearray(f"{header}\n", "utf-8"))
+        parts = sorted(str(f.getPath()) for f in files.listStatus(source) if f.getPath().getName().startswith("part-"))
+        for part in parts:
+            stream = files.open(at(part))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+            stream.close()
+    finally:
+        out.close()
+
+
+def write_document_files(rows: DataFrame, folder: str) -> None:
+    """One JSON file for each document, named by its id, in a mounted folder that driver and executors share.
+
+    A file is written under another name and then renamed, so a task that runs twice leaves whole files.
+    """
+    made = as_json(rows)
+
+    def write(batches):
+        where = folder.removeprefix("file://")
+        os.makedirs(where, exist_ok=True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = os.path.join(where, quote(row["documento_id"], safe=" ") + ".json")
+                with open(f"{path}.{uuid.uuid4().hex}", "w", encoding="utf-8") as f:
+                    f.write(row["json"])
+                os.replace(f.name, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    made.mapInArrow(write, "n bigint").agg({"n": "sum"}).collect()
 
 
 def trace(decided: DataFrame) -> DataFrame:

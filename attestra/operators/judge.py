@@ -1,7 +1,8 @@
 """A judge between candidates that the rules can't part: prompt, tolerant reading of the answer, membership check.
 
 Backends answer a prompt with text; only a scripted one is part of the engine. Answers are collected beforehand into
-the map that Rules.judge takes, by the candidates' sorted ids, or asked for in Arrow batches by judged().
+the map that Rules.judge takes, by the candidates' sorted ids, or asked for in Arrow batches by judged(), whose table
+Rules.judge takes too.
 """
 
 from __future__ import annotations
@@ -15,9 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
-
-
 class Backend(Protocol):
     def answer(self, prompt: str) -> str: ...
 
@@ -32,26 +30,31 @@ class Scripted:
         return self.say(prompt)
 
 
-def prompt(excerpt: str, candidates: Sequence[dict]) -> str:
-    """The same text for the same candidates in any order."""
-    lines = [f"- {c['id']}: {c.get('natureza') or '?'} {c.get('tribunal') or '?'} {'/'.join(c.get('classes_compostas') or [])}" for c in sorted(candidates, key=lambda c: c["id"])]
-    ids = ", ".join(str(c["id"]) for c in sorted(candidates, key=lambda c: c["id"]))
-    return "\n".join(["Citation: " + " ".join(excerpt.split()), f"Ids: {ids}", *lines, 'Answer {"id_canonico": id or null, "justificativa": "..."}.'])
+def prompt(excerpt: str, candidates: Sequence[dict], asked: dict | None = None) -> str:
+    """The same text for the same candidates in any order; asked: the citation's own fields."""
+    by_id = sorted(candidates, key=lambda c: c["id"])
+    named = lambda c, *keys: " ".join(f"{k}={'/'.join(v) if isinstance(v, list) else v}" for k in keys if (v := c.get(k)) not in (None, "", []))
+    lines = [f"- {c['id']}: " + named(c, "natureza", "tribunal", "classes_compostas", "ano", "relator", "score") for c in by_id]
+    fields = named(asked or {}, "numero_normalizado", "classes_compostas", "tribunal", "uf", "ano", "relator")
+    ids = ", ".join(str(c["id"]) for c in by_id)
+    return "\n".join(["Citation: " + " ".join(excerpt.split()), *([f"Fields: {fields}"] if fields else []), f"Ids: {ids}", *lines, 'Answer {"id_canonico": id or null, "justificativa": "..."}.'])
+
+
+def answer_object(reply: str | None) -> dict:
+    """The first whole JSON object in a reply, whatever stands around it; an empty one if there is none."""
+    text, decoder = reply or "", json.JSONDecoder()
+    for at, c in enumerate(text):
+        if c == "{":
+            try:
+                return decoder.raw_decode(text, at)[0]
+            except ValueError:
+                continue
+    return {}
 
 
 def parsed(reply: str | None) -> Any:
-    """The id of the first whole JSON object in a reply, within a fence if there is one; None if there is none."""
-    text = (reply or "").strip()
-    if m := _FENCE.search(text):
-        text = m[1].strip()
-    at = text.find("{")
-    while at >= 0:
-        try:
-            found = json.JSONDecoder().raw_decode(text, at)[0]
-            return found.get("id_canonico")
-        except ValueError:
-            at = text.find("{", at + 1)
-    return None
+    """The id that a reply names, whatever it is; None if there is none."""
+    return answer_object(reply).get("id_canonico")
 
 
 def valid(answer: Any, ids: Sequence[int]) -> int | None:
@@ -62,14 +65,25 @@ def valid(answer: Any, ids: Sequence[int]) -> int | None:
 
 
 def judged(undecided: DataFrame, backend: Backend) -> DataFrame:
-    """ids (sorted, joined with commas) and choice of each distinct set of two candidates or more; undecided: trecho, candidatos."""
+    """trecho, ids (sorted, joined with commas), choice and reason: one answer for each excerpt with two candidates or more.
+
+    undecided: trecho, candidatos and maybe campos. Rows that repeat an excerpt and its candidates are asked once.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 ids = sorted({c["id"] for c in row["candidatos"]})
-                out.append((",".join(map(str, ids)), valid(parsed(backend.answer(prompt(row["trecho"], row["candidatos"]))), ids)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([c for _, c in out], pa.int64())], ["ids", "choice"])
-
-    return undecided.where(F.size("candidatos") > 1).select("trecho", "candidatos").mapInArrow(run, "ids string, choice bigint").dropDuplicates(["ids"])
+                said = answer_object(backend.answer(prompt(row["trecho"], row["candidatos"], row.get("campos"))))
+                reason = said.get("justificativa")
+                out.append((row["trecho"], row["ids"], valid(said.get("id_canonico"), ids), reason if isinstance(reason, str) else None))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["trecho", "ids", "choice", "reason"])
+
+    ids = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform("candidatos", lambda k: k["id"]))), lambda i: i.cast("string")), ",")
+    kept = [c for c in ("candidatos", "campos") if c in undecided.columns]
+    asked = undecided.where(F.size("candidatos") > 1).withColumn("ids", ids).groupBy("trecho", "ids")
+    asked = asked.agg(F.min(F.struct(*kept)).alias("s")).select("trecho", "ids", "s.*")
+    return asked.mapInArrow(run, "trecho string, ids string, choice bigint, reason string")

@@ -98,14 +98,22 @@ def matched(golds: Column, preds: Column) -> Column:
     return F.aggregate(F.array_sort(near), none, add)
 
 
-def first_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first of the rows that repeat a key, by an explicit row number."""
-    return rows.withColumn("_n", F.expr(f"row_number() over (partition by {', '.join(keys)} order by {order})")).where("_n = 1").drop("_n")
+def first_rows(submission: DataFrame, order: str = "linha") -> DataFrame:
+    """documento_id and citacoes of the first row sent for each document.
+
+    First is by the column `order` where there is one, and else by the rows' place in the files they are read from.
+    """
+    place = F.col(order) if order in submission.columns else F.monotonically_increasing_id()
+    placed = submission.select("documento_id", "citacoes", place.alias("_at"))
+    return placed.groupBy("documento_id").agg(F.min(F.struct("_at", "citacoes")).alias("s")).select("documento_id", "s.citacoes")
 
 
 def aligned(solution: DataFrame, submission: DataFrame) -> DataFrame:
-    """solution(documento_id, nivel, citacoes) with golds, preds and pairs; a document that wasn't sent raises nothing here (see missing)."""
-    sent = submission.select("documento_id", predictions(F.col("citacoes")).alias("preds"))
+    """solution(documento_id, nivel, citacoes) with golds, preds and pairs; a document that wasn't sent raises nothing here (see missing).
+
+    Of rows that repeat a document in the submission the first counts.
+    """
+    sent = first_rows(submission).select("documento_id", predictions(F.col("citacoes")).alias("preds"))
     rows = solution.select("documento_id", "nivel", expected(F.col("citacoes")).alias("golds")).join(sent, "documento_id", "left")
     rows = rows.withColumn("preds", F.coalesce("preds", F.array().cast(f"array<{PREDICTION}>")))
     return rows.withColumn("pairs", matched(F.col("golds"), F.col("preds")))
@@ -182,7 +190,7 @@ def final_score(levels: DataFrame) -> DataFrame:
 
 def evaluate(solution: DataFrame, submission: DataFrame) -> DataFrame:
     """One row for each level; raises for a bad submission, a bad solution, a document that wasn't sent, or nothing to score."""
-    refuse(submission_problems(submission))
+    refuse(submission_problems(first_rows(submission)))
     refuse(solution_problems(solution), ValueError)
     if lost := missing(solution, submission).limit(20).collect():
         raise SubmissionError("documents not sent: " + ", ".join(r["documento_id"] for r in lost))

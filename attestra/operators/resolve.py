@@ -1,12 +1,14 @@
 """Resolution: citations against the catalogue by equality joins, with scores, conflicts and the decision.
 
-The catalogue is indexed before the joins (one row for each key, with its records as an array), so a citation stays one
-row throughout and no aggregation over citations is needed. Spark broadcasts an index that its own size check admits.
+The catalogue is indexed before the one join (one row for each key, summary or article, with its records as an array), so a
+citation stays one row throughout and no aggregation over citations is needed. Citations that aren't looked up have keys of
+their own that no record has, so they are spread over all tasks. Spark broadcasts an index that its own size check admits.
+A key's array is as long as the key has records: candidates of one citation are part of its row in this data model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,17 +19,30 @@ from attestra.operators import catalog
 
 @dataclass(frozen=True)
 class Rules:
-    """What the decision may use beyond cardinality. judge answers by the sorted ids joined with commas."""
+    """What the decision may use beyond cardinality.
+
+    judge: answers by the candidates' sorted ids joined with commas, or the table (ids, choice, and trecho if answers differ
+    by excerpt) that judge.judged() gives, which is joined.
+    """
 
     duplicates: bool = False
     score: bool = False
     margin: float = 0.0
-    judge: Mapping[str, int] | None = field(default=None)
+    judge: Mapping[str, int] | DataFrame | None = field(default=None)
+
+
+_PARTS = ("uf", "classe", "classes_compostas", "paragrafo", "inciso", "alinea", "vinculante")
 
 
-def _records(rows: DataFrame, by: Sequence[Column], names: Sequence[str]) -> DataFrame:
-    record = F.struct("id", "tribunal", "natureza", "campos", "hash_texto")
-    return rows.groupBy(*(c.alias(n) for c, n in zip(by, names, strict=True))).agg(F.array_sort(F.collect_list(record), lambda a, b: (a["id"] - b["id"]).cast("int")).alias(f"_{names[0]}"))
+def _index(records: DataFrame) -> DataFrame:
+    """_key and _records, by id: what is found under a number, a summary or an article of a statute."""
+    record = F.struct("id", "tribunal", "natureza", F.struct(*(f"campos.{n}" for n in _PARTS)).alias("campos"), "hash_texto")
+    law, c = catalog.laws(records), F.col("campos")
+    rows = catalog.keys(records).select(F.struct(F.lit("n").alias("by"), "chave", F.lit("").alias("of")).alias("_key"), record.alias("r"))
+    key = lambda by, what, of: F.struct(F.lit(by).alias("by"), what.alias("chave"), of.alias("of"))
+    rows = rows.union(law.where(c["sumula"].isNotNull()).select(key("s", c["sumula"], F.lit("")), record))
+    rows = rows.union(law.where(c["artigo"].isNotNull() & c["diploma"].isNotNull()).select(key("a", c["artigo"], c["diploma"]), record))
+    return rows.groupBy("_key").agg(F.array_sort(F.collect_list("r")).alias("_records"))
 
 
 def route(known: Column, kind: Column, campos: Column) -> Column:
@@ -37,9 +52,9 @@ def route(known: Column, kind: Column, campos: Column) -> Column:
     return F.when(~known | campos.isNull(), "sem_busca").when(by_law, "lei_sumula").when(some, "catalogo").otherwise("sem_busca")
 
 
-def law_score(asked: Column, record: Column) -> Column:
+def law_score(asked: Column, record: Column, court: Column) -> Column:
     """1 or 0.5 for a summary (whether both bind), 1 less 0.3 for each part that both name and that differs for a law; 0 for another court's."""
-    courts = F.coalesce(asked["tribunal"] != record["tribunal"], F.lit(False))
+    courts = F.coalesce(asked["tribunal"] != court, F.lit(False))
     summary = F.when(courts, 0.0).when(asked["vinculante"] != record["vinculante"], 0.5).otherwise(1.0)
     law = F.lit(1.0)
     for part in ("paragrafo", "inciso", "alinea"):
@@ -63,22 +78,38 @@ def candidate(asked: Column, record: Column, score: Column) -> Column:
 def search(citations: DataFrame, records: DataFrame) -> DataFrame:
     """citations (tipo_bruto, tem_identificador, campos) with metodo_busca and candidatos, best score first, then smaller id."""
     c = F.col("campos")
-    law = catalog.laws(records)
-    by_key = _records(catalog.keys(records), [F.col("chave")], ["k_chave"])
-    by_summary = _records(law.where("campos.sumula is not null"), [F.col("campos.sumula")], ["k_sumula"])
-    by_article = _records(law.where("campos.artigo is not null and campos.diploma is not null"), [F.col("campos.artigo"), F.col("campos.diploma")], ["k_artigo", "k_diploma"])
-    how = F.col("metodo_busca")
     asked = citations.withColumn("metodo_busca", route(F.col("tem_identificador"), F.col("tipo_bruto"), c))
-    summary = (how == "lei_sumula") & c["sumula"].isNotNull()
-    found = asked.withColumns({"q_key": F.when(how == "catalogo", c["numero_normalizado"]), "q_summary": F.when(summary, c["sumula"])})
-    article = (how == "lei_sumula") & c["sumula"].isNull()
-    found = found.withColumns({"q_article": F.when(article, c["artigo"]), "q_law": F.when(article, c["diploma"])})
-    found = found.join(by_key, F.col("q_key") == F.col("k_chave"), "left").join(by_summary, F.col("q_summary") == F.col("k_sumula"), "left")
-    found = found.join(by_article, (F.col("q_article") == F.col("k_artigo")) & (F.col("q_law") == F.col("k_diploma")), "left")
-    exact = F.transform(F.coalesce("_k_chave", F.array().cast(found.schema["_k_chave"].dataType)), lambda r: candidate(c, r, F.lit(1.0)))
-    scored = F.transform(F.coalesce("_k_sumula", "_k_artigo", F.array().cast(found.schema["_k_chave"].dataType)), lambda r: candidate(c, r, law_score(c, r["campos"])))
+    how, key = F.col("metodo_busca"), lambda by, a, b: F.struct(F.lit(by).alias("by"), a.alias("chave"), b.alias("of"))
+    own = F.xxhash64(*(name for name, kind in citations.dtypes if "map<" not in kind)).cast("string")
+    nothing = key("-", own, F.lit(""))
+    known = (
+        F.when(how == "catalogo", key("n", c["numero_normalizado"], F.lit("")))
+        .when((how == "lei_sumula") & c["sumula"].isNotNull(), key("s", c["sumula"], F.lit("")))
+        .when((how == "lei_sumula") & c["artigo"].isNotNull() & c["diploma"].isNotNull(), key("a", c["artigo"], c["diploma"]))
+        .otherwise(nothing)
+    )
+    index = _index(records).withColumnRenamed("_key", "_of")
+    found = asked.withColumn("_key", known).join(index, F.col("_key") == F.col("_of"), "left")
+    every = F.coalesce("_records", F.array().cast(index.schema["_records"].dataType))
+    by_number = how == "catalogo"
+    scored = F.transform(every, lambda r: candidate(c, r, F.when(by_number, 1.0).otherwise(law_score(c, r["campos"], r["tribunal"]))))
     ranked = F.transform(F.array_sort(F.transform(F.filter(scored, lambda k: k["score"] > 0), lambda k: F.struct((-k["score"]).alias("s"), k["id"].alias("i"), k.alias("k")))), lambda x: x["k"])
-    return found.select(*asked.columns, F.concat(exact, ranked).alias("candidatos"))
+    return found.select(*asked.columns, ranked.alias("candidatos"))
+
+
+def _answered(rows: DataFrame, judge: Mapping[str, int] | DataFrame | None) -> DataFrame:
+    """Adds _choice: the judge's answer for the candidates of those rows that it is asked about."""
+    none = F.lit(None).cast("long")
+    if judge is None:
+        return rows.withColumn("_choice", none)
+    if not isinstance(judge, DataFrame):
+        judge = rows.sparkSession.createDataFrame(list(judge.items()), "ids string, choice bigint")
+    by_excerpt = "trecho" in judge.columns and "trecho" in rows.columns
+    answers = judge.select(F.col("ids").alias("_ids"), F.col("choice").alias("_choice"), *([F.col("trecho").alias("_excerpt")] if by_excerpt else []))
+    # rows that it isn't asked about have a key of their own that no answer has
+    key = F.when(F.col("metodo_decisao") == "juiz", F.col("_asked")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    same = F.col("_asked") == F.col("_ids")
+    return rows.withColumn("_asked", key).join(answers, same & (F.col("trecho") == F.col("_excerpt")) if by_excerpt else same, "left")
 
 
 def decide(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -94,8 +125,7 @@ def decide(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
     rows = rows.withColumns({"_same": F.when(F.size(classes) > 0, same).otherwise(F.slice("_kept", 1, 0)), "_best": best})
     lead = F.get("_best", F.lit(1))["s"] - F.get("_best", F.lit(0))["s"]
     asked = F.array_join(F.transform(F.array_sort(F.transform("_kept", lambda k: k["id"])), lambda i: i.cast("string")), ",")
-    answers = F.create_map(*(F.lit(x) for pair in (rules.judge or {}).items() for x in pair)).cast("map<string,bigint>") if rules.judge else F.lit(None).cast("map<string,bigint>")
-    judged = F.get(F.filter("_kept", lambda k: k["id"] == F.try_element_at(answers, asked)), F.lit(0))
+    judged = F.get(F.filter("_kept", lambda k: k["id"] == F.col("_choice")), F.lit(0))
     method = (
         F.when(F.col("metodo_busca").isNull() | (F.col("metodo_busca") == "sem_busca"), "sem_identificador")
         .when((F.size(cands) > 0) & (F.size("_clean") == 0), "veto_quimera")
@@ -110,7 +140,7 @@ def decide(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
     first = lambda c: F.get(c, F.lit(0))
     m = F.col("metodo_decisao")
     chosen = F.when(m == "cardinalidade_1", first("_one")).when(m == "desempate_duplicata", first("_kept")).when(m == "desempate_classe", first("_same")).when(m == "desempate_score", first("_best")["k"]).when(m == "juiz", judged)
-    rows = rows.withColumn("metodo_decisao", method).withColumn("_chosen", chosen)
+    rows = _answered(rows.withColumn("metodo_decisao", method).withColumn("_asked", asked), rules.judge).withColumn("_chosen", chosen)
     real = F.col("_chosen").isNotNull()
     label = F.when(real, "real").when(m.isin("veto_quimera", "cardinalidade_0"), "inventada").otherwise("incompleta")
     kind = F.when(real & (F.col("_chosen.natureza") == "dispositivo"), "lei").when(real | (F.coalesce("tipo_bruto", F.lit("indefinido")) == "indefinido"), "jurisprudencia").otherwise(F.col("tipo_bruto"))

@@ -6,49 +6,26 @@ derivation is written once in each language; what lies between is the engine's o
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import columns as K
 from attestra.functions.fixed_values import STATES
-from attestra.operators import catalog, checks, emit, fit, metric, resolve, spans
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql.replace("from lineitem", f"from {_LINES_SQL}")
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: One row for each line of an order: lineitem repeats some.
-_LINE_COLUMNS = ("l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-_LINES_SQL = "(select l_orderkey, l_linenumber, " + ", ".join(f"min({c}) as {c}" for c in _LINE_COLUMNS) + " from lineitem group by all) as lines"
-
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
-    return rows.agg(*(F.min(c).alias(c) for c in _LINE_COLUMNS))
-
+from attestra.operators import catalog, checks, emit, fit, harness, metric, resolve, spans
+from attestra.plans.derived import QUERIES, SQL, Query
+from attestra.plans.derived import campos as _campos
+from attestra.plans.derived import lines as _lines
+from attestra.plans.derived import query as _query
+from attestra.plans.derived import spread as _spread
+from attestra.plans.derived import table as _table
 
 # --- derived tables; every SQL text below is for DuckDB
 _STATE_SQL = f"['{"', '".join(STATES)}']"
 _COURT = "case substr(o_orderpriority, 1, 1) when '1' then 'STF' when '2' then 'STJ' when '3' then 'STM' when '4' then 'TSE' else 'TST' end"
 #: A record's key is shared by three neighbouring orders; a citation's is that of an order, or beyond the last one.
 _KEY = "cast(1000000 + {k} // 3 as varchar)"
+#: Records of one key have ids on both sides of 2^31, odd and even as their orders are.
+_ID = "o_orderkey + case when o_orderkey % 5 = 0 then 6000000000 else 0 end"
 
 
 def _state(n) -> F.Column:
@@ -57,23 +34,17 @@ def _state(n) -> F.Column:
 
 def _orders(spark, sf_dir) -> DataFrame:
     """id, court, key, uf, texto: records with the header of a ruling."""
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    o = _spread(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"), "o_orderkey")
     key = F.expr("cast(1000000 + o_orderkey div 3 as string)")
     uf = F.when(F.col("o_orderkey") % 4 != 0, _state(F.col("o_custkey")))
-    return o.select(F.col("o_orderkey").alias("id"), F.expr(_COURT).alias("tribunal"), key.alias("chave"), uf.alias("uf"), F.year("o_orderdate").alias("ano"))
+    return o.select(F.expr(_ID).alias("id"), F.col("o_orderkey"), F.expr(_COURT).alias("tribunal"), key.alias("chave"), uf.alias("uf"), F.year("o_orderdate").alias("ano"))
 
 
 _ORDERS_SQL = f"""o as (
-  select o_orderkey as id, {_COURT} as tribunal, {_KEY.format(k="o_orderkey")} as chave,
+  select {_ID} as id, {_COURT} as tribunal, {_KEY.format(k="o_orderkey")} as chave,
     case when o_orderkey % 4 <> 0 then {_STATE_SQL}[o_custkey % {len(STATES)} + 1] end as uf, year(o_orderdate) as ano from orders)"""
 
 
-def _campos(**given) -> F.Column:
-    from attestra.plans.schemas import FIELDS
-
-    return F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FIELDS.fields))
-
-
 def _records(spark, sf_dir) -> DataFrame:
     o = _orders(spark, sf_dir)
     classes = F.when(F.col("id") % 2 == 0, F.array(F.lit("REsp"))).otherwise(F.array(F.lit("AgInt"), F.lit("REsp")))
@@ -95,12 +66,12 @@ _DECIDED_SQL = f"""with {_ORDERS_SQL}, {_CITATIONS_SQL}, n as (
   select c.l_orderkey, c.l_linenumber, c.known and c.chave is not null as asked, count(o.id) as found,
     count(o.id) filter (c.uf is null or o.uf is null or c.uf = o.uf) as clean, min(o.id) filter (c.uf is null or o.uf is null or c.uf = o.uf) as first,
     count(o.id) filter ((c.uf is null or o.uf is null or c.uf = o.uf) and o.id % 2 = 0) as same,
-    min(o.id) filter ((c.uf is null or o.uf is null or c.uf = o.uf) and o.id % 2 = 0) as same_first
+    min(o.id) filter ((c.uf is null or o.uf is null or c.uf = o.uf) and o.id % 2 = 0) as same_first, min(o.id) as least
   from c left join o on c.known and c.chave = o.chave group by all
 ), d as (
   select l_orderkey, l_linenumber, case when asked then 'catalogo' else 'sem_busca' end as metodo_busca,
     case when not asked then 'sem_identificador' when found > 0 and clean = 0 then 'veto_quimera' when clean = 0 then 'cardinalidade_0'
-      when clean = 1 then 'cardinalidade_1' when same = 1 then 'desempate_classe' else 'cardinalidade_2mais' end as metodo_decisao, first, same_first, found
+      when clean = 1 then 'cardinalidade_1' when same = 1 then 'desempate_classe' else 'cardinalidade_2mais' end as metodo_decisao, first, same_first, least, found
   from n
 )"""
 
@@ -146,10 +117,17 @@ def method_histogram(spark, sf_dir):
     return _decided(spark, sf_dir).groupBy("metodo_decisao").pivot("metodo_busca", ["catalogo", "sem_busca"]).count().na.fill(0)
 
 
-@_query(f"""{_DECIDED_SQL} select found as candidates, metodo_decisao, count(*) as citations, count(*) * 1.0 / sum(count(*)) over () as share from d group by all""")
+@_query(f"""{_DECIDED_SQL}, w as (
+  select 'without ties' as projection, case metodo_decisao when 'desempate_classe' then 'cardinalidade_2mais' else metodo_decisao end as m,
+    case metodo_decisao when 'cardinalidade_1' then 'real' when 'veto_quimera' then 'inventada' when 'cardinalidade_0' then 'inventada' else 'incompleta' end as c, case metodo_decisao when 'cardinalidade_1' then first end as i from d
+  union all select 'first always', metodo_decisao, case when metodo_decisao in ('cardinalidade_1', 'desempate_classe', 'cardinalidade_2mais') then 'real' when metodo_decisao in ('veto_quimera', 'cardinalidade_0') then 'inventada' else 'incompleta' end,
+    case metodo_decisao when 'cardinalidade_1' then first when 'desempate_classe' then same_first when 'cardinalidade_2mais' then least end from d)
+select projection, m as metodo_decisao, c as classificacao, count(*) as n, sum(i)::bigint as ids from w group by all""")
 def counterfactual_projection(spark, sf_dir):
-    rows = _decided(spark, sf_dir).select(F.size("candidatos").cast("long").alias("candidates"), "metodo_decisao")
-    return rows.groupBy("candidates", "metodo_decisao").agg(F.count(F.lit(1)).alias("citations")).crossJoin(rows.agg(F.count(F.lit(1)).alias("n"))).select("candidates", "metodo_decisao", "citations", (F.col("citations") / F.col("n")).alias("share"))
+    rows = _decided(spark, sf_dir)
+    both = (("without ties", harness.without(rows, ["desempate_classe"])), ("first always", harness.projected(rows.withColumn("want", F.lit(None).cast("long")), False)))
+    counted = [r.groupBy(F.lit(name).alias("projection"), "metodo_decisao", "classificacao").agg(F.count(F.lit(1)).alias("n"), F.sum("id_canonico").alias("ids")) for name, r in both]
+    return counted[0].unionByName(counted[1])
 
 
 @_query(f"with {_ORDERS_SQL} select chave, count(*) as n, min(id) as first, max(id) as last from o group by chave having count(*) > 1")
@@ -167,7 +145,7 @@ _SOURCE = "'RECURSO ESPECIAL Nº ' || replace(format('{:,}', 1000000 + o_custkey
 
 @_query(f"""select o_orderkey as id, {_KEY.format(k="o_custkey")} as numero, 'REsp' as classe, sha1({_SOURCE}) as hash_texto from orders""")
 def catalog_build(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders")
+    o = _spread(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
     number = F.replace(F.format_number(F.expr("1000000 + o_custkey div 3"), 0), F.lit(","), F.lit("."))
     text = F.concat(F.lit("RECURSO ESPECIAL Nº "), number, F.lit("\nEMENTA"))
     source = o.select(F.col("o_orderkey").cast("string").alias("documento_id"), F.col("o_orderkey").alias("id"), F.lit("STJ").alias("tribunal"), F.year("o_orderdate").alias("ano"), F.lit(None).cast("string").alias("relator"), F.lit("acordao").alias("natureza"), F.lit("jurisprudencia").alias("tipo"), text.alias("texto"))
@@ -179,7 +157,7 @@ _NOISY = "translate(replace(format('{:,}', 1000000 + o_custkey), ',', '.'), '015
 
 def _noisy_numbers(spark, sf_dir) -> DataFrame:
     number = F.translate(F.replace(F.format_number(F.col("o_custkey") + 1000000, 0), F.lit(","), F.lit(".")), "015", "OlS")
-    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("REsp nº "), number, F.lit("/"), _state(F.col("o_custkey"))).alias("trecho"))
+    return _spread(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", "o_custkey", F.concat(F.lit("REsp nº "), number, F.lit("/"), _state(F.col("o_custkey"))).alias("trecho"))
 
 
 #: A number whose digits are all put as letters stays text: nothing shows that it is one.
@@ -206,21 +184,9 @@ def regroup_number(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", K.regrouped((F.col("o_custkey") + 1000000).cast("string")).alias("numero"))
 
 
-@_query("select o_orderkey, case o_orderkey % 3 when 0 then 'AgInt>REsp' when 1 then 'EDcl>AgInt>AREsp' else 'HC' end as classes from orders")
-def class_chain(spark, sf_dir):
-    text = F.expr("case o_orderkey % 3 when 0 then 'AgInt no Recurso Especial' when 1 then 'EDcl no Agravo Interno no ARESP' else 'H.C.' end || ' 1.234/SP'")
-    return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(K.class_chain(text), ">").alias("classes"))
-
-
-@_query("select o_orderkey, case o_orderkey % 4 when 0 then 'CF' when 1 then 'CPM' when 2 then 'CDC' end as diploma from orders")
-def statute_lookup(spark, sf_dir):
-    text = F.expr("case o_orderkey % 4 when 0 then 'art. 5 da Constituição Fedcral' when 1 then 'do Codigo Penal Mi1itar' when 2 then 'do CDC' else 'Lei nº 9.504/1997' end")
-    return _table(spark, sf_dir, "orders").select("o_orderkey", K.statute(text).alias("diploma"))
-
-
 @_query("""select o_orderkey, cast(1 + o_custkey % 900 as varchar) as artigo, case when o_orderkey % 2 = 0 then 'único' else cast(1 + o_orderkey % 9 as varchar) end as paragrafo, 'CPC' as diploma from orders""")
 def field_extract(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders")
+    o = _spread(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     part = F.when(F.col("o_orderkey") % 2 == 0, ", parágrafo único").otherwise(F.concat(F.lit(", § "), (1 + F.col("o_orderkey") % 9).cast("string"), F.lit("º")))
     text = F.concat(F.lit("art. "), (1 + F.col("o_custkey") % 900).cast("string"), part, F.lit(", do CPC"))
     return o.select("o_orderkey", K.parse_fields(text, F.lit("lei"))["campos"].alias("c")).select("o_orderkey", "c.artigo", "c.paragrafo", "c.diploma")
@@ -231,17 +197,17 @@ _SPAN_TEXT = "repeat('abc ', o_custkey % 5) || 'Veja o REsp ' || replace(format(
 
 @_query(f"select o_orderkey, 4 * (o_custkey % 5) + 7 as inicio, 4 * (o_custkey % 5) + 24 as fim, 'REsp ' || replace(format('{{:,}}', 1000000 + o_custkey), ',', '.') || '/SP' as trecho from orders")
 def span_extract(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders")
+    o = _spread(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     text = F.concat(F.expr("repeat('abc ', cast(o_custkey % 5 as int))"), F.lit("Veja o REsp "), F.replace(F.format_number(F.col("o_custkey") + 1000000, 0), F.lit(","), F.lit(".")), F.lit("/SP no texto."))
     found = spans.extract(o.select(F.col("o_orderkey").cast("string").alias("documento_id"), text.alias("texto")))
     return found.select(F.col("documento_id").cast("long").alias("o_orderkey"), F.col("inicio").cast("long"), F.col("fim").cast("long"), "trecho")
 
 
-@_query("select o_orderkey, cast(1000000 + o_custkey as varchar) as chave, true as same from orders")
+@_query("select o_orderkey, '2345' || cast(1000000 + o_custkey as varchar) as chave from orders")
 def noise_robustness(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 1000000).cast("string").alias("chave"))
+    o = _spread(_table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 1000000).cast("string").alias("chave")), "o_orderkey")
     noisy = K.noisy(F.concat(F.lit("REsp 2.345."), K.regrouped("chave")), F.col("o_orderkey"), F.lit(7))
-    return o.select("o_orderkey", "chave", (K.digit_key(noisy) == F.concat(F.lit("2345"), F.col("chave"))).alias("same"))
+    return o.select("o_orderkey", K.digit_key(noisy).alias("chave"))
 
 
 @_query("""select doc_id, least(case when regexp_matches(text, '\\r?\\n[ \\t]*\\r?\\n') then length(regexp_extract(text, '(?s)^(.*?)\\r?\\n[ \\t]*\\r?\\n', 1)) else length(text) end, 1000) as header_end from documents""")
@@ -251,11 +217,8 @@ def header_bound(spark, sf_dir):
 
 @_query("""select doc_id, length(text) - length(ltrim(text, ' .,;:-' || chr(9) || chr(10) || chr(13) || chr(160))) as inicio, length(rtrim(text, ' .,;:-' || chr(9) || chr(10) || chr(13) || chr(160))) as fim from documents where length(trim(text, ' .,;:-' || chr(9) || chr(10) || chr(13) || chr(160))) >= 8""")
 def span_trim_filter(spark, sf_dir):
-    from attestra.functions.fixed_values import SPAN_EDGES
-
-    d, edges = _table(spark, sf_dir, "documents"), F.lit(SPAN_EDGES)
-    rows = d.select("doc_id", (F.length("text") - F.length(F.ltrim(F.col("text"), edges))).cast("long").alias("inicio"), F.length(F.rtrim(F.col("text"), edges)).cast("long").alias("fim"))
-    return spans.long_enough(rows)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", K.trimmed("text").alias("t"))
+    return spans.long_enough(rows.select("doc_id", F.col("t.inicio").cast("long").alias("inicio"), F.col("t.fim").cast("long").alias("fim")))
 
 
 @_query("""with s as (select l_orderkey, l_linenumber, 30 * l_linenumber as a, 30 * l_linenumber + 20 as b from lineitem)
@@ -337,6 +300,15 @@ def final_score(spark, sf_dir):
     return metric.final_score(_levels(spark, sf_dir)).select(F.round("final", 9).alias("final"))
 
 
+@_query(f"with {_EVENTS_SQL} select round(sum(nivel * score) / sum(nivel), 9) as final from k")
+def final_score_first_row(spark, sf_dir):
+    """Every document sent again, later, with nothing: the first row counts."""
+    solution, sent = _cells(spark, sf_dir)
+    both = sent.withColumn("linha", F.lit(1)).union(sent.select("documento_id", F.lit("-").alias("citacoes"), F.lit(2).alias("linha")))
+    levels = metric.level_scores(metric.confusion(metric.events(metric.aligned(solution, both))))
+    return metric.final_score(levels).select(F.round("final", 9).alias("final"))
+
+
 @_query(f"with {_EVENTS_SQL} select nivel::int as nivel, round(score, 9) as score from k where score < 0.9")
 def regression_gate(spark, sf_dir):
     now = _levels(spark, sf_dir)
@@ -349,12 +321,15 @@ def greedy_match(spark, sf_dir):
     return rows.select(F.col("documento_id").cast("long").alias("l_orderkey"), F.size("pairs").cast("long").alias("pairs"))
 
 
-@_query(f"select 1 + l_orderkey % 2 as nivel, count(*) filter ({_MOVE} > 6) as counted from lineitem where l_linenumber % 5 = 0 group by all")
+@_query(f"select l_orderkey, count(*) filter (l_linenumber % 5 = 0 and {_MOVE} > 6) as counted, count(*) filter ({_MOVE} > 6) as missed from lineitem group by all")
 def extra_rule(spark, sf_dir):
+    """Spare predictions that count, by document: those within a gold span that nothing matched."""
     solution, sent = _cells(spark, sf_dir)
-    spare = sent.select("documento_id", F.array_join(F.filter(F.split("citacoes", r"\|"), lambda c: ~c.endswith(",5,-")), "|").alias("citacoes"))
-    both = [metric.confusion(metric.events(metric.aligned(solution, s))).groupBy("nivel").agg(F.sum("fp").alias(f"fp{k}")) for k, s in enumerate((sent, spare))]
-    return both[0].join(both[1], "nivel").select(F.col("nivel").cast("long"), (F.col("fp0") - F.col("fp1")).alias("counted"))
+    plain = sent.select("documento_id", F.array_join(F.filter(F.split("citacoes", r"\|"), lambda c: ~c.endswith(",5,-")), "|").alias("citacoes"))
+    by = ("documento_id",)
+    both = [metric.confusion(metric.events(metric.aligned(solution, c)), by).groupBy(*by).agg(F.sum("fp").alias(f"fp{k}"), F.sum("fn").alias(f"fn{k}")) for k, c in enumerate((sent, plain))]
+    pairs = metric.aligned(solution, sent).select("documento_id", (F.size("golds") - F.size("pairs")).cast("long").alias("missed"))
+    return both[0].join(both[1], "documento_id").join(pairs, "documento_id").select(F.col("documento_id").cast("long").alias("l_orderkey"), (F.col("fp0") - F.col("fp1")).alias("counted"), "missed")
 
 
 @_query(f"select l_orderkey, count(*) as n, sum(100 * l_linenumber)::bigint as starts, count(*) filter ({_LABEL.format(x='l_suppkey')} = 'real') as reals from lineitem group by all")
@@ -363,13 +338,20 @@ def parse_cell(spark, sf_dir):
     return rows.select(F.col("documento_id").cast("long").alias("l_orderkey"), F.size("g").cast("long").alias("n"), F.aggregate("g", F.lit(0).cast("long"), lambda acc, x: acc + x["inicio"]).alias("starts"), F.size(F.filter("g", lambda x: x["classe"] == "real")).cast("long").alias("reals"))
 
 
-@_query("select l_orderkey, l_linenumber, 'id is not digits' as problem from lineitem where l_partkey % 50 = 0")
+_CELLS = (
+    ("0,5,real,1", "not five fields"), ("x,5,real,1,0.5", "offsets are not whole numbers"), ("5,5,real,1,0.5", "span is not 0 <= start < end"),
+    ("0,5,other,1,0.5", "unknown class"), ("0,5,real,-,0.5", "real without an id"), ("0,5,real,x1,0.5", "id is not digits"),
+    ("0,5,real,1,abc", "confidence is not a number"), ("0,5,real,1,1.5", "confidence is not within 0 and 1"), ("0,9,real,1,0.5|1,9,real,2,0.5", "overlaps an earlier citation"),
+)
+_PROBLEM = "case l_partkey % 11 " + " ".join(f"when {k} then '{what}'" for k, (_, what) in enumerate(_CELLS)) + " end"
+
+
+@_query(f"select l_orderkey, l_linenumber, case l_partkey % 11 when 8 then 2 else 1 end as citation, {_PROBLEM} as problem from lineitem where l_partkey % 11 < {len(_CELLS)}")
 def cell_problems(spark, sf_dir):
-    li = _lines(spark, sf_dir)
-    own = F.when(F.col("l_partkey") % 50 == 0, "x1").otherwise("1")
-    sent = li.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("documento_id"), F.concat(F.lit("0,5,real,"), own, F.lit(",0.5")).alias("citacoes"))
+    cell = F.expr("case l_partkey % 11 " + " ".join(f"when {k} then '{c}'" for k, (c, _) in enumerate(_CELLS)) + " when 9 then '-' else '0,5,real,007,0.5|5,9,incompleta,-,-' end")
+    sent = _lines(spark, sf_dir).select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("documento_id"), cell.alias("citacoes"))
     rows = metric.submission_problems(sent).withColumn("p", F.split("documento_id", "-"))
-    return rows.select(F.col("p")[0].cast("long").alias("l_orderkey"), F.col("p")[1].cast("int").alias("l_linenumber"), "problem")
+    return rows.select(F.col("p")[0].cast("long").alias("l_orderkey"), F.col("p")[1].cast("int").alias("l_linenumber"), "citation", "problem")
 
 
 @_query(f"""select case when {_MOVE} > 6 then 'unmatched' when g = 'inventada' and p = 'real' then 'erro_tau' when g <> p then 'classe_trocada' when g = 'real' and l_partkey % 9 = 0 then 'id_errado' else 'acerto' end as category, count(*) as n
@@ -390,20 +372,34 @@ def submission_cell(spark, sf_dir):
     return rows.select(F.col("documento_id").cast("long").alias("l_orderkey"), "citacoes")
 
 
-@_query("select c_custkey, count(o_orderkey) as citations from customer left join orders on c_custkey = o_custkey group by all")
+@_query("""select c_custkey, '{"documento_id":"' || c_custkey || '","citacoes":[' || coalesce(string_agg('{"inicio":' || o_orderkey || ',"fim":' || (o_orderkey + 5) || ',"trecho":"x","tipo":"lei","classificacao":"' ||
+  case when o_orderkey % 2 = 0 then 'real","resolucao":{"id_canonico":' || o_orderkey || '}' else 'incompleta"' end || case when o_orderkey % 3 = 0 then ',"confianca":0.5' else '' end || '}', ',' order by o_orderkey), '') || ']}' as json
+from customer left join orders on c_custkey = o_custkey group by c_custkey""")
 def assemble_document(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders")
-    decided = o.select(F.col("o_custkey").cast("string").alias("documento_id"), F.col("o_orderkey").cast("int").alias("inicio"), (F.col("o_orderkey") + 5).cast("int").alias("fim"), F.lit("x").alias("trecho"), F.lit("lei").alias("tipo"), F.lit("incompleta").alias("classificacao"), F.lit(None).cast("long").alias("id_canonico"), F.lit(None).cast("double").alias("confianca"))
+    o, even = _table(spark, sf_dir, "orders"), F.col("o_orderkey") % 2 == 0
+    decided = o.select(F.col("o_custkey").cast("string").alias("documento_id"), F.col("o_orderkey").cast("int").alias("inicio"), (F.col("o_orderkey") + 5).cast("int").alias("fim"), F.lit("x").alias("trecho"), F.lit("lei").alias("tipo"), F.when(even, "real").otherwise("incompleta").alias("classificacao"), F.when(even, F.col("o_orderkey")).alias("id_canonico"), F.when(F.col("o_orderkey") % 3 == 0, 0.5).alias("confianca"))
     rows = emit.documents(_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("documento_id")), decided)
-    return rows.select(F.col("documento_id").cast("long").alias("c_custkey"), F.size("citacoes").cast("long").alias("citations"))
+    return emit.as_json(rows).select(F.col("documento_id").cast("long").alias("c_custkey"), "json")
 
 
-@_query("""select rule, count(*) as n from (select 'real and id' as rule from lineitem where l_partkey % 40 = 0 union all select 'confidence' from lineitem where l_partkey % 60 = 1) group by all""")
+@_query("""with docs as (select distinct l_orderkey from lineitem), c as (
+  select 'trecho' as rule, l_orderkey from lineitem where l_partkey % 90 = 0 union all select 'real and id', l_orderkey from lineitem where l_partkey % 40 = 0
+  union all select 'confidence', l_orderkey from lineitem where l_partkey % 60 = 1 union all select 'overlap', l_orderkey from lineitem where l_partkey % 70 = 0
+  union all select 'trecho', l_orderkey from lineitem where l_partkey % 70 = 0 and l_partkey % 90 = 0
+  union all select 'real and id', l_orderkey from lineitem where l_partkey % 70 = 0 and l_partkey % 40 = 0 union all select 'confidence', l_orderkey from lineitem where l_partkey % 70 = 0 and l_partkey % 60 = 1
+  union all select 'document lost', l_orderkey from docs where l_orderkey % 11 = 0 union all select 'cell without citations', c_custkey from customer where c_custkey % 3 = 0)
+select rule, count(*) as n, sum(l_orderkey)::bigint as keys from c group by all""")
 def invariants(spark, sf_dir):
     li = _lines(spark, sf_dir)
-    decided = li.select(F.col("l_orderkey").cast("string").alias("documento_id"), (30 * F.col("l_linenumber")).alias("inicio"), (30 * F.col("l_linenumber") + 10).alias("fim"), F.lit("aaaaaaaaaa").alias("trecho"), F.when(F.col("l_partkey") % 40 == 0, "inventada").otherwise("real").alias("classificacao"), F.col("l_suppkey").alias("id_canonico"), F.when(F.col("l_partkey") % 60 == 1, 1.5).otherwise(0.5).alias("confianca"))
-    docs = decided.select("documento_id").distinct().withColumn("texto", F.lit("a" * 400))
-    return checks.violations(docs, decided, docs.select("documento_id", F.lit("x").alias("citacoes"))).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    places = F.explode(F.when(F.col("l_partkey") % 70 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("move")
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", places)
+    start = 30 * F.col("l_linenumber") + F.col("move")
+    decided = li.select(F.col("l_orderkey").cast("string").alias("documento_id"), start.alias("inicio"), (start + 10).alias("fim"), F.repeat(F.when(F.col("l_partkey") % 90 == 0, "b").otherwise("a"), F.lit(10)).alias("trecho"), F.when(F.col("l_partkey") % 40 == 0, "inventada").otherwise("real").alias("classificacao"), F.col("l_suppkey").alias("id_canonico"), F.when(F.col("l_partkey") % 60 == 1, 1.5).otherwise(0.5).alias("confianca"))
+    docs = decided.select("documento_id").distinct().withColumn("texto", F.repeat(F.lit("a"), F.lit(4000)))
+    sent = docs.where("cast(documento_id as long) % 11 > 0").select("documento_id", F.lit("x").alias("citacoes"))
+    silent = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("documento_id"), F.when(F.col("c_custkey") % 3 == 0, "x").otherwise("-").alias("citacoes"))
+    found = checks.violations(docs, decided, sent.union(silent))
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_replace("documento_id", "c", "").cast("long")).alias("keys"))
 
 
 # --- confidence: labels from lineitem
@@ -450,30 +446,33 @@ def data_quality(spark, sf_dir):
     return out.select("documents", "crlf", F.col("shortest").cast("long").alias("shortest"), F.col("longest").cast("long").alias("longest"), F.col("middle").cast("long").alias("middle"))
 
 
-@_query(f"with {_ORDERS_SQL} select 'acordao' as natureza, tribunal, count(*) as rows, count(distinct id) as ids from o group by all")
+_NATUREZA = "case id % 3 when 0 then 'acordao' when 1 then 'sumula' else 'dispositivo' end"
+
+
+@_query(f"with {_ORDERS_SQL} select {_NATUREZA} as natureza, tribunal, 2 * count(*) as rows, count(distinct id) as ids from o group by all")
 def source_quality(spark, sf_dir):
-    return checks.source_report(_orders(spark, sf_dir).withColumn("natureza", F.lit("acordao")))
+    """Every record twice."""
+    rows = _orders(spark, sf_dir).withColumn("natureza", F.expr(_NATUREZA))
+    return checks.source_report(rows.union(rows))
 
 
-@_query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@_query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey % 7 > 0)")
 def missing_documents(spark, sf_dir):
     solution = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("documento_id"))
-    sent = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("documento_id")).distinct()
+    sent = _table(spark, sf_dir, "orders").where("o_custkey % 7 > 0").select(F.col("o_custkey").cast("string").alias("documento_id")).distinct()
     return metric.missing(solution, sent).select(F.col("documento_id").cast("long").alias("c_custkey"))
 
 
-@_query("""select doc_id, sha1(text) as hash, length(text) as n from documents""")
-def read_document(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("texto"))
-    return d.select("doc_id", F.sha1(F.encode("texto", "UTF-8")).alias("hash"), F.length("texto").cast("long").alias("n"))
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from attestra.plans import kernel_queries  # noqa: F401  (registers its own)
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from attestra.plans import kernel_queries  # noqa: F401
+
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

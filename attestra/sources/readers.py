@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from attestra.plans import schemas
 
 
+def line_ends(text: Column | str) -> Column:
+    """The text with \\n for \\r\\n and for \\r."""
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
 def documents(spark: SparkSession, folder: str, raw: bool = False, required: bool = True) -> DataFrame:
     """documento_id (the file's stem) and texto of every *.txt file; line ends become \\n unless raw."""
     files = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    text = F.col("value") if raw else F.regexp_replace("value", "\r\n?", "\n")
+    text = F.col("value") if raw else line_ends("value")
     out = files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("documento_id"), text.alias("texto"))
     if required and out.isEmpty():
         raise FileNotFoundError(f"no *.txt files in {folder}")

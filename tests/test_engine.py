@@ -178,3 +178,122 @@ def test_no_confidence_gives_no_bonus_and_no_table_no_confidence(spark):
     table = spark.createDataFrame([("fine", "m|-", 1.7), ("coarse", "-", -0.2)], "level string, key string, confianca double")
     assert [r["confianca"] for r in resolve.calibrate(decided, table).collect()] == [1.0, 0.0]
     assert {r["confianca"] for r in resolve.calibrate(decided, table.limit(0)).collect()} == {None}
+
+
+def test_ids_of_any_size_are_in_order(spark):
+    from attestra.plans.derived import campos
+
+    ids = [5665364632, 10577194, 9_000_000_000_000_000_000, 7]
+    records = spark.createDataFrame([(i,) for i in ids], "id long")
+    null = F.lit(None).cast("string")
+    records = records.select("id", null.alias("tribunal"), F.lit("acordao").alias("natureza"), campos(numero_normalizado=F.lit("1234567"), classes_compostas=F.array()).alias("campos"), null.alias("hash_texto"), F.array().cast("array<string>").alias("numeros_alternativos"))
+    asked = spark.range(2).select("id", F.lit("jurisprudencia").alias("tipo_bruto"), (F.col("id") == 0).alias("tem_identificador"), campos(numero_normalizado=F.lit("1234567")).alias("campos"))
+    got = {r["id"]: [k["id"] for k in r["candidatos"]] for r in resolve.search(asked, records).collect()}
+    assert got == {0: sorted(ids), 1: []}
+
+
+def test_the_first_row_sent_for_a_document_counts(spark):
+    solution = spark.createDataFrame([("a", 1, "0,10,real,12")], "documento_id string, nivel int, citacoes string")
+    sent = spark.createDataFrame([("a", "0,10,real,12,1.0"), ("a", "-"), ("a", "0,x")], schemas.SUBMISSION)
+    assert metric.final_score(metric.evaluate(solution, sent)).first()["final"] == pytest.approx(1.1)
+    turned = sent.withColumn("linha", F.when(F.col("citacoes") == "-", 1).otherwise(2))
+    assert metric.evaluate(solution, turned).first()["macro_f1"] == 0
+
+
+_IDENTIFIED = [
+    ("EDcl no AgInt no ARESP  1 821 663/ SC", None), ("RESP n. 1\n307\n026/BA", None), ("Primeiro AgRg no RE 597.443 (SP)", None), ("REsp\xa01.597.443", None),
+    ("H.C. 1.45g.779", None), ("5úmula 331 do TST", None), ("Temã 1.046 da repercussão geral", None), ("TST-ED-E-ED-RR-3400-05.2011.5.21.0009", None),
+    ("7OOO449-40.2023.7.00.0000/RS", None), ("REsp 1.597.443/XX", "REsp 1.597.443"), ("REsp 1.597.443\n\n002", "REsp 1.597.443"), ("art. 5º, § 3º, da CF", None),
+    ("AgInt no REsp 7000449-40.2023.7.00.0000", None),
+]
+
+
+@pytest.mark.parametrize("text,expect", _IDENTIFIED)
+def test_spans_with_identifiers(spark, text, expect):
+    docs = spark.createDataFrame([("d", "x\n\n" + "palavra " * 10 + text + ", fim")], "documento_id string, texto string")
+    assert [(r["trecho"], r["tem_identificador"]) for r in spans.extract(docs).collect()] == [(expect or text, True)]
+
+
+@pytest.mark.parametrize("text,known", [("acórdão do STF de 2019, Rel. Min. Ana D’Ávila", True), ("AgRg no HC julgado em 1999 sob relatoria do Juiz Bento dos Santos", True), ("decisão de 2024\n\npela relatoria de Ana", False), ("julgado de 2024; relatoria de Ana", False), ("julgado de 12 de 2024 pela relatoria de Ana", False)])
+def test_spans_without_identifiers(text, known):
+    from attestra.functions.citation_spans import candidates
+
+    found = [(t, k) for _, _, t, _, k, _ in candidates("Veja o " + text + " e mais.")]
+    assert found == ([(text, False)] if known else [])
+
+
+def test_own_number_cases():
+    from attestra.functions.own_number import own_numbers
+
+    far = "Lei nº 13.467/2017\n" + "texto " * 250 + "discutidos estes autos de Recurso de Revista nº TST-RR-34000-52.2011.5.21.0009, em que"
+    assert own_numbers(far, "TST") == ["340005220115210009"]
+    assert own_numbers("RECURSO Nº 2883 (2012/0012345-6) RJ12345\nEMENTA", "STJ") == ["2883"]
+    assert own_numbers("12/05/2010 PRIMEIRA TURMA HC 76.532 origem 0012345-67.2009.8.26.0000", "STF") == ["76532"]
+    assert own_numbers("RESPE Nº 1662 (47142-16.2008.6.00.0000) - PI", "TSE") == ["1662", "471421620086000000"]
+    assert own_numbers("em 2010", "STF") == own_numbers(None, None) == own_numbers("", "TST") == []
+
+
+@pytest.mark.parametrize("text,chain", [("EDcl no AgInt no ARESP", ["EDcl", "AgInt", "AREsp"]), ("AgInt nosEMBARGOS DE DIVERGÊNCIA EM RESP", ["AgInt", "EREsp", "REsp"]), ("", []), ("R. Esp. e rec. esp.", ["REsp", "REsp"])])
+def test_class_names(text, chain):
+    from attestra.functions.keys import names
+
+    assert names(text, "class") == chain
+
+
+def test_key_properties():
+    import random
+
+    from attestra.functions import keys
+    from attestra.functions.citation_spans import noisy
+
+    rng = random.Random(5)
+    for _ in range(300):
+        digits = "2" + "".join(rng.choices("0123456789", k=rng.choice((5, 6, 9, 19))))
+        shown = keys.regroup(digits)
+        assert keys.digit_key(shown) == (digits, False) and keys.repair(keys.repair(shown)[0]) == (shown, False)
+        spoiled = noisy("REsp 2345." + shown, rng.randrange(1 << 30))
+        assert keys.digit_key(spoiled)[0] == "2345" + digits
+        assert keys.signature(keys.signature(shown)) == keys.signature(shown)
+
+
+def test_judge_is_asked_once_for_each_excerpt(spark):
+    asked = spark.createDataFrame([("a", [(2,), (1,)]), ("a", [(1,), (2,)]), ("b", [(1,), (2,)]), ("c", [(1,)])], "trecho string, candidatos array<struct<id:bigint>>")
+    said = judge.judged(asked, judge.Scripted(lambda p: '{"id_canonico": 1, "justificativa": "r"}' if "Citation: a" in p else "no")).collect()
+    assert sorted((r["trecho"], r["ids"], r["choice"], r["reason"]) for r in said) == [("a", "1,2", 1, "r"), ("b", "1,2", None, None)]
+
+
+def test_sources_and_command_line(spark, records, tmp_path, monkeypatch, capsys):
+    from attestra.plans import cli
+    from attestra.streaming import folder
+
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    texts = tmp_path / "texts"
+    texts.mkdir()
+    (texts / "um.txt").write_bytes(TEXT.replace(", b", ",\r\nb").encode())
+    (texts / "dois.txt").write_text("nada", encoding="utf-8")
+    catalog.save(records, str(tmp_path / "catalog"), "0")
+    docs = {r["documento_id"]: r["texto"] for r in readers.documents(spark, str(texts)).collect()}
+    assert set(docs) == {"um", "dois"} and "\r" not in docs["um"] and "\r\n" in {r["documento_id"]: r["texto"] for r in readers.documents(spark, str(texts), raw=True).collect()}["um"]
+    out = tmp_path / "out"
+    assert cli.main(["run", str(texts), str(tmp_path / "catalog"), str(out)]) == 0
+    lines = (out / "submission.csv").read_text(encoding="utf-8").splitlines()
+    assert lines[0] == "documento_id,citacoes" and lines[1].startswith("dois,") and lines[2].count("|") == 6 and len(lines) == 3
+    found = readers.trace(spark, str(out / "trace")).orderBy("inicio").collect()
+    gold = "\ufeffnivel,documento_id,citacao_id,inicio,fim,trecho,tipo,classificacao,id_canonico\n" + "".join(f"1,um,{k},{r['inicio']},{r['fim']},x\\ny,{'lei'},{r['classificacao']},{r['id_canonico'] or ''}\n" for k, r in enumerate(found))
+    (tmp_path / "gold.csv").write_text(gold, encoding="utf-8")
+    rows = readers.gold(spark, str(tmp_path / "gold.csv"))
+    assert rows.count() == 7 and readers.with_excerpts(rows, spark.createDataFrame([], "documento_id string, texto string")).first()["trecho"] == "x\ny"
+    assert cli.main(["fit", str(out / "trace"), str(tmp_path / "gold.csv"), str(tmp_path / "table.json")]) == 0
+    bands = {(r["level"], r["key"]): r["confianca"] for r in readers.confidence_table(spark, str(tmp_path / "table.json")).collect()}
+    assert bands["default", ""] == round(8 / 9, 4)
+    solution = emit.from_gold(rows).union(spark.createDataFrame([("dois", 2, "-")], "documento_id string, nivel int, citacoes string"))
+    solution.coalesce(1).write.csv(str(tmp_path / "solution"), header=True)
+    assert cli.main(["score", str(tmp_path / "solution"), str(out / "submission.csv"), "--out", str(tmp_path / "scores.json")]) == 0
+    assert json.loads((tmp_path / "scores.json").read_text())["final"] == pytest.approx(1.0)
+    assert cli.main(["harness", "3"]) == 0 and "inexact: 0" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["run", str(tmp_path / "none"), "x", "y"])
+    folder.watch(spark, str(texts), records, str(tmp_path / "stream"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert readers.trace(spark, str(tmp_path / "stream" / "batch=0")).count() == 7
+    emit.write_document_files(emit.documents(spark.createDataFrame(list(docs.items()), "documento_id string, texto string"), spark.read.parquet(str(out / "citations"))), str(tmp_path / "json"))
+    assert sorted(p.name for p in (tmp_path / "json").iterdir()) == ["dois.json", "um.json"] and len(json.loads((tmp_path / "json" / "um.json").read_text())["citacoes"]) == 7
