@@ -1,20 +1,25 @@
 """Near duplicates by a signature-coordinate inverted join.
 
-Each document is posted under its (coordinate, value) pairs, and two documents whose posts collide often enough are
-compared on their full shingle sets. What keeps the join small, without losing pairs:
+Each document is posted under its (coordinate, value) pairs; two documents with enough posts in common are compared on
+their full shingle sets. What keeps the join small, without losing pairs:
 
 - Documents with equal sets are one class; only one of each class goes on.
 - Prefix: two signatures of K coordinates with at least T collisions share one of any K - T + 1 of their posts taken in
   one order for all. The order is by how common a post is, rarest first, so posts of passages that many documents share
   come last and stay out, and a document without near duplicates has no post in its prefix that anybody else has.
-- Merging: posts that share a document are one gathering, so two documents that share any post of their prefixes are in one
-  gathering, and in no other. A gathering is dealt into blocks of bounded size, and each two blocks meet in one cell.
-- Skip: a cell counts the collisions of a document with those of another component only, and confirms pairs with at
-  least T of them on the full sets, which are bits over the shingles that two of the cell's documents have. What
-  leaves a cell are the links that tied components together, fewer than its documents.
+- Merging: the lists of posts come sorted, many short ones to a batch, and each two documents of a list are merged
+  coordinate by coordinate; those with at least T collisions are kept. A long list is dealt into blocks, and each two
+  blocks meet in one cell of bounded size.
+- Skip: documents of a list that are tied already aren't merged again. What leaves a batch are the pairs that tie its
+  documents together, fewer than its documents.
+
+The pairs' components are the only documents whose full sets are read, in cells of bounded size too. There a document is
+compared with those of another component only, on bits over the shingles that two of the cell's documents have. The first
+block meets all others; what that leaves apart from the largest part then meets everything, so a group of copies of
+any size costs a number of cells in proportion to it.
 
 Components need no more links than those. A pair at the similarity threshold is missed only if fewer than T of its K
-coordinates collide; K = 24, T = 9 make that a chance of about 2 in 10^8 at 0.85, and 7 in 10^7 at 0.8.
+coordinates collide; K = 24, T = 9 make that a chance of about 2 in 10^8 at 0.85, and 10^-6 at 0.8.
 """
 
 from __future__ import annotations
@@ -24,22 +29,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import byte_batches, connected_components, materialize
-from attestra.llm.shingles import min_hashes, shingle_sets
+from attestra.llm.common import byte_batches, connected_components, local_components, materialize
+from attestra.llm.shingles import Sets, min_hashes, shingle_sets
 
 WIDTH, COORDINATES, MATCHES = 5, 24, 9
-#: A block has about this many documents and shingles at most (or is one document).
-BLOCK_DOCUMENTS, BLOCK_SHINGLES = 2_000, 1_500_000
+#: A block of a list, or of documents with their sets, has about this many documents and shingles at most (or is one document).
+BLOCK_POSTS, BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1_000, 500, 400_000
+#: Lists up to this long are merged side by side, longer ones row by row.
+SHORT_LIST = 16
+_TEXT_BYTES = 4_000_000
 
 
 def signatures(docs: DataFrame, width: int = WIDTH, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, f1 and f2 (128 bits that name the set) and sig (null for an empty set) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "text"):
+        for batch in byte_batches(batches, "text", _TEXT_BYTES):
             sets = shingle_sets(batch.column("text"), width)
             sizes = np.diff(sets.ends, prepend=0)
             sigs = min_hashes(sets, coordinates)
@@ -58,8 +66,8 @@ def signatures(docs: DataFrame, width: int = WIDTH, coordinates: int = COORDINAT
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<int>")
 
 
-def _gatherings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """node and component: the documents of posts that more than one class has in its prefix, by gathering."""
+def _lists(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """post, i, j, block, doc, sig and n_shingles: the lists of posts that more than one class has in its prefix, as cells of blocks."""
     post = F.posexplode("sig").alias("at", "value")
     every = classes.select("doc", post).select("doc", F.xxhash64("at", "value").alias("post"))
     common = every.groupBy("post").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
@@ -68,8 +76,79 @@ def _gatherings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame
     alone = F.lit(coordinates) - F.size("posts")
     prefix = F.slice("posts", F.lit(1), F.greatest(F.lit(0), F.lit(coordinates - matches + 1) - alone))
     posts = materialize(shared.select("doc", F.explode(prefix).alias("p")).select("doc", F.col("p.post").alias("post")), "posts")
-    leads = materialize(posts.groupBy("post").agg(F.min("doc").alias("lead")), "leads")
-    return connected_components(posts.join(leads, "post").select(F.col("doc").alias("a"), F.col("lead").alias("b")))
+    sized = posts.groupBy("post").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    sized = materialize(sized.select("post", F.ceil(F.col("times") / BLOCK_POSTS).cast("int").alias("blocks")), "sized-posts")
+    dealt = posts.join(sized, "post").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("post", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc")
+    return cells.join(classes.select("doc", "sig", "n_shingles"), "doc")
+
+
+def merged(keys: np.ndarray, two: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) that tie together the rows of each list (equal keys, side by side) with enough collisions.
+
+    Sizes bound the similarity. Rows of one block don't meet in a list of two.
+    """
+    edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    lengths = np.diff(np.append(edges, len(keys)))
+    short = np.repeat(lengths <= SHORT_LIST, lengths)
+    until = np.repeat(edges + lengths, lengths)
+    fits = lambda a, b: 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+    found = [np.zeros((2, 0), np.int64)]
+    for far in range(1, SHORT_LIST):
+        a = np.flatnonzero(short & (np.arange(len(keys)) + far < until))
+        if not len(a):
+            break
+        b = a + far
+        kept = fits(a, b) & (~two[a] | (blocks[a] != blocks[b]))
+        a, b = a[kept], b[kept]
+        kept = (sigs[a] == sigs[b]).sum(1) >= matches
+        found.append(np.stack([a[kept], b[kept]]))
+    for start, length in zip(edges[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist(), strict=True):
+        label = np.arange(length)
+        for k in range(length):
+            rest = k + 1 + np.flatnonzero(label[k + 1 :] != label[k])
+            rest = rest[fits(start + k, start + rest) & (~two[start + k] | (blocks[start + k] != blocks[start + rest]))]
+            rest = rest[(sigs[start + rest] == sigs[start + k]).sum(1) >= matches]
+            if len(rest):
+                tied, first = np.unique(label[rest], return_index=True)
+                found.append(np.stack([np.full(len(tied), start + k), start + rest[first]]))
+                label[np.isin(label, tied)] = label[k]
+    both = np.concatenate(found, axis=1)
+    return both[0], both[1]
+
+
+def _collisions(lists: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Pairs (a, b) that tie together the documents with enough collisions and sizes near enough, over all lists."""
+
+    def tied(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        keys = table.column("cell").to_numpy()
+        sigs = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+        a, b = merged(keys, table.column("two").to_numpy(), table.column("block").to_numpy(), sigs, table.column("n_shingles").to_numpy(), percent, matches)
+        docs = table.column("doc").to_numpy()
+        ids, place = np.unique(docs, return_inverse=True)
+        root = local_components(len(ids), place[a], place[b])
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, new]) if held is not None and held.num_rows else new
+            if held.num_rows:
+                keys = held.column("cell").to_numpy()
+                last = int(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[-1])  # the last list may go on
+                if last:
+                    yield tied(held.slice(0, last))
+                    held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield tied(held)
+
+    # a cell's number; two cells that fall together by chance only merge more
+    rows = lists.select(F.xxhash64("post", "i", "j").alias("cell"), (F.col("i") != F.col("j")).alias("two"), "block", "doc", "n_shingles", "sig")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
 def _bits(sets: list[np.ndarray]) -> np.ndarray:
@@ -87,15 +166,17 @@ def _bits(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cell_links(docs: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that tie together what is linked among the documents of a cell of one block, or across one of two."""
-    sizes, bits, label = np.array([len(s) for s in sets]), _bits(sets), np.arange(len(docs))
-    across, a, b = len(np.unique(blocks)) > 1, [], []
+def cell_links(docs: np.ndarray, sides: np.ndarray, labels: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that tie together what is linked among the documents of a cell and isn't yet, by their labels.
+
+    Documents meet where their sides differ, and those of side 0 each other too.
+    """
+    sizes, bits, label = np.array([len(s) for s in sets]), _bits(sets), np.unique(labels, return_inverse=True)[1]
+    a, b = [], []
     for k in range(len(docs)):
         other = label != label[k]
         other[: k + 1] = False
-        if across:
-            other &= blocks != blocks[k]
+        other &= (sides != sides[k]) | (sides[k] == 0)
         # sizes bound the similarity
         other &= (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
         rest = np.flatnonzero(other)
@@ -110,42 +191,71 @@ def cell_links(docs: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, sets: lis
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _links(docs: DataFrame, classes: DataFrame, gathered: DataFrame, percent: int, width: int, matches: int) -> DataFrame:
-    """Links (a, b) that tie together what is linked within each gathering (node, component)."""
-    member = classes.join(gathered, F.col("doc") == F.col("node")).select("doc", "component", "f1", "sig", "n_shingles")
-    member = materialize(member, "members")
-    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCUMENTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    sized = materialize(member.groupBy("component").agg(parts.alias("blocks")), "sized")
-    dealt = member.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-    dealt = dealt.select(F.col("doc").alias("_doc"), "component", "blocks", "block", "f1", "sig")
+def _confirmed(docs: DataFrame, dealt: DataFrame, cells: Column, percent: int, width: int, coordinates: int, matches: int, repeats: bool) -> DataFrame:
+    """Links (a, b) within the cells that documents meet in.
+
+    dealt: doc, f1 (its class), component, label and what `cells` reads, an array of (i, j, side).
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kept = ["doc_id", "component", "blocks", "block", "sig"]
+    given = dealt.select(F.col("doc").alias("_doc"), "component", "label", "f1", cells.alias("cells"))
+    kept = ["doc_id", "component", "label", "cells"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "text", 4_000_000):
+        for batch in byte_batches(batches, "text", _TEXT_BYTES):
             sets = shingle_sets(batch.column("text"), width)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, sets.ends).astype(np.int32)), pa.array(sets.values.view(np.int64)))
             names = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
             found = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "shingles"])
             yield found.filter(pc.equal(batch.column("f1"), pa.array(names)))  # of rows that repeat a doc_id, those with the text that counts
 
-    found = rows.join(dealt, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "component", "blocks", "block", "f1", "sig")
-    found = found.mapInArrow(read, "doc_id bigint, component bigint, blocks int, block int, sig array<int>, shingles array<bigint>")
-    met = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "sig", "shingles")
+    found = rows.join(given, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "component", "label", "f1", "cells")
+    found = found.mapInArrow(read, "doc_id bigint, component bigint, label bigint, cells array<struct<i:int,j:int,side:int>>, shingles array<bigint>")
+    met = found.dropDuplicates(["doc_id"]) if repeats else found
+    met = met.select("doc_id", "component", "label", F.explode("cells").alias("c"), "shingles").select("doc_id", "component", "label", "c.*", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, once = np.unique(table.column("doc_id").to_numpy(), return_index=True)
-        table = table.take(pa.array(once))
-        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
+        flat = table.column("shingles").combine_chunks().flatten().to_numpy()
         ends = np.cumsum(pc.list_value_length(table.column("shingles")).to_numpy())
-        sets = np.split(flat("shingles"), ends[:-1])
-        blocks, sigs = table.column("block").to_numpy(), flat("sig").reshape(len(ids), -1)
-        alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        a, b = cell_links(ids, blocks, sigs, sets, percent, matches) if alone or len(np.unique(blocks)) > 1 else ([], [])
+        sets = np.split(flat.view(np.uint64), ends[:-1])
+        sigs = min_hashes(Sets(flat.view(np.uint64), ends), coordinates)
+        a, b = cell_links(*(table.column(c).to_numpy() for c in ("doc_id", "side", "label")), sigs, sets, percent, matches)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.groupBy("component", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return met.groupBy("component", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _parts(count: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(count / BLOCK_DOCUMENTS, shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, percent: int, width: int, coordinates: int, matches: int, repeats: bool) -> DataFrame:
+    """Links (a, b) that tie together what is linked within each component of candidates(node, component)."""
+    member = classes.join(candidates, F.col("doc") == F.col("node")).select("doc", "component", "f1", "n_shingles")
+    member = materialize(member, "members")
+    n, total = F.count(F.lit(1)), F.sum("n_shingles")
+    sized = materialize(member.groupBy("component").agg(_parts(n, total).alias("blocks")), "sized")
+    dealt = member.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    zero, one, two = (F.lit(k) for k in range(3))
+    # the first block meets every block
+    every = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda j: cell(zero, j, F.when(j == 0, zero).otherwise(one)))
+    first = F.when(F.col("block") == 0, every).otherwise(F.array(cell(zero, F.col("block"), zero)))
+    link = lambda rows, how: materialize(_confirmed(docs, rows, how, percent, width, coordinates, matches, repeats), "links")
+    links = link(dealt.withColumn("label", F.col("doc")), first)
+    if sized.where("blocks > 1").isEmpty():
+        return links
+
+    # then all that isn't tied to a component's largest part meets all of it
+    parts = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("part"))
+    open_ = dealt.where("blocks > 1").join(parts, "doc", "left").withColumn("label", F.coalesce("part", "doc")).drop("part")
+    open_ = materialize(open_, "open")
+    counts = materialize(open_.groupBy("component", "label").agg(n.alias("docs"), total.alias("n_shingles")), "parts")
+    largest = counts.groupBy("component").agg(F.max_by("label", "docs").alias("largest"), F.max("docs").alias("of_largest"), F.sum("docs").alias("docs"), F.max_by("n_shingles", "docs").alias("s_largest"), F.sum("n_shingles").alias("s"))
+    rest = largest.where("docs > of_largest").select("component", "largest", _parts(F.col("docs") - F.col("of_largest"), F.col("s") - F.col("s_largest")).alias("slices"))
+    rows = open_.join(materialize(rest, "rest"), "component").withColumn("slice", F.pmod(F.xxhash64("doc", F.lit("slice")), "slices").cast("int"))
+    as_all = F.transform(F.sequence(zero, F.col("slices") - 1), lambda i: cell(i, F.col("block"), two))
+    as_rest = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda j: cell(F.col("slice"), j, one))
+    return links.union(link(rows, F.when(F.col("label") == F.col("largest"), as_all).otherwise(F.concat(as_all, as_rest))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -162,8 +272,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, coor
     classes = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
     classes = materialize(classes, "classes")
 
-    gathered = _gatherings(classes, coordinates, matches)
-    links = materialize(_links(docs, classes, gathered, percent, width, matches), "links")
+    lists = _lists(classes, coordinates, matches)
+    candidates = connected_components(_collisions(lists, percent, matches))
+    repeats = signed.where("sig is not null and doc_id is not null").count() > one.count()
+    links = _links(docs, classes, candidates, percent, width, coordinates, matches, repeats)
 
     final = connected_components(links)
     of_class = classes.join(final, F.col("doc") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "doc").alias("component_id"))

@@ -307,9 +307,28 @@ def test_cells_tie_what_is_linked():
         base = [[rng.randrange(10**6) for _ in range(60)] for _ in range(3)]
         docs = [sorted({x if rng.random() > 0.06 else rng.randrange(10**9) for x in rng.choice(base)}) for _ in range(25)]
         sets = [np.array(d, np.int64) for d in docs]
-        blocks, sigs = np.array([rng.randrange(1 + trial % 2) for _ in docs]), np.zeros((25, 4), np.int32)
-        a, b = minhash.cell_links(np.arange(25), blocks, sigs, sets, 85, 2)
-        link = [(i, j) for i, j in itertools.combinations(range(25), 2) if 100 * len({*docs[i]} & {*docs[j]}) >= 85 * len({*docs[i]} | {*docs[j]}) and (blocks.max() == blocks.min() or blocks[i] != blocks[j])]
+        sides, sigs = np.array([rng.randrange(1 + trial % 3) for _ in docs]), np.zeros((25, 4), np.int32)
+        a, b = minhash.cell_links(np.arange(25), sides, np.arange(25), sigs, sets, 85, 2)
+        link = [(i, j) for i, j in itertools.combinations(range(25), 2) if 100 * len({*docs[i]} & {*docs[j]}) >= 85 * len({*docs[i]} | {*docs[j]}) and (sides[i] != sides[j] or sides[i] == 0)]
         i, j = (np.array([p[k] for p in link], int) for k in (0, 1))
         assert (local_components(25, a.astype(int), b.astype(int)) == local_components(25, i, j)).all()
         assert len(a) < 25
+        # what is tied by its labels already isn't tied again
+        again = minhash.cell_links(np.arange(25), sides, local_components(25, i, j), sigs, sets, 85, 2)
+        assert len(again[0]) == 0
+
+
+def test_lists_are_merged_up_to_ties(monkeypatch):
+    rng = np.random.default_rng(6)
+    for trial in range(40):
+        monkeypatch.setattr(minhash, "SHORT_LIST", 2 + trial % 9)
+        lengths = rng.integers(1, 20, 12)
+        keys = np.repeat(rng.choice(10**9, 12, replace=False), lengths)
+        n = len(keys)
+        two, blocks = np.repeat(rng.random(12) < 0.5, lengths), rng.integers(0, 2, n)
+        sigs, sizes = rng.integers(0, 3, (n, 8)).astype(np.int32), rng.integers(80, 120, n)
+        a, b = minhash.merged(keys, two, blocks, sigs, sizes, 85, 5)
+        pairs = [(i, j) for i, j in itertools.combinations(range(n), 2) if keys[i] == keys[j] and not (two[i] and blocks[i] == blocks[j]) and (sigs[i] == sigs[j]).sum() >= 5 and 100 * min(sizes[i], sizes[j]) >= 85 * max(sizes[i], sizes[j])]
+        assert {*zip(a.tolist(), b.tolist(), strict=True)} <= {*pairs} and pairs
+        i, j = np.array(pairs).T
+        assert (local_components(n, a, b) == local_components(n, i, j)).all()

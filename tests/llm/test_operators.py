@@ -47,6 +47,8 @@ def test_connected_components(spark):
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCUMENTS", 7)
+    monkeypatch.setattr(minhash, "BLOCK_POSTS", 5)
+    monkeypatch.setattr(minhash, "SHORT_LIST", 4)
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     bases = [[word() for _ in range(120)] for _ in range(3)]
@@ -71,6 +73,29 @@ def test_near_duplicates(spark, monkeypatch):
     assert minhash.near_duplicates(_docs(spark, [])).count() == 0
 
 
+def test_recall_of_near_duplicates_against_all_rows(spark):
+    """Documents whose id is divisible by 50 against all others, at 0.8 and 0.85."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    asked = {i: _sets(t) for i, t in rows if i % 50 == 0}
+    where = {}
+    for i, s in asked.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    sizes, shared = {}, {}
+    for i, t in rows:
+        found = _sets(t)
+        sizes[i] = len(found)
+        for x in found:
+            for q in where.get(x, ()):
+                if q != i:
+                    shared[q, i] = shared.get((q, i), 0) + 1
+    for percent in (80, 85):
+        links = [(q, i) for (q, i), n in shared.items() if 100 * n >= percent * (sizes[q] + sizes[i] - n)]
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, percent).select("doc_id", "component_id").collect()}
+        assert len(links) > 20 and all(got[q] == got[i] for q, i in links)
+
+
 def test_near_duplicate_rows_are_dropped_by_row(spark):
     rng = random.Random(3)
     a, b, c, d, e = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(5))
