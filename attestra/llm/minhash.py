@@ -40,6 +40,8 @@ WIDTH, COORDINATES, MATCHES = 5, 24, 9
 BLOCK_POSTS, BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1_000, 500, 400_000
 #: Lists up to this long are merged side by side, longer ones row by row.
 SHORT_LIST = 16
+#: Tables of up to this many rows, of some tens of bytes each, are sent to all tasks.
+BROADCAST_ROWS = 400_000
 _TEXT_BYTES = 4_000_000
 
 
@@ -191,36 +193,44 @@ def cell_links(docs: np.ndarray, sides: np.ndarray, labels: np.ndarray, sigs: np
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _confirmed(docs: DataFrame, dealt: DataFrame, cells: Column, percent: int, width: int, coordinates: int, matches: int, repeats: bool) -> DataFrame:
-    """Links (a, b) within the cells that documents meet in.
+def _with(rows: DataFrame, given: DataFrame, on: Column) -> DataFrame:
+    """rows joined with the written table given: sent to all tasks where it has few rows, or else by a shuffle."""
+    return rows.join(F.broadcast(given) if given.count() <= BROADCAST_ROWS else given, on)
 
-    dealt: doc, f1 (its class), component, label and what `cells` reads, an array of (i, j, side).
-    """
+
+def _sets(docs: DataFrame, member: DataFrame, width: int, repeats: bool) -> DataFrame:
+    """doc and shingles of each member (doc, f1), written; of rows that repeat a doc_id one with the text that counts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    given = dealt.select(F.col("doc").alias("_doc"), "component", "label", "f1", cells.alias("cells"))
-    kept = ["doc_id", "component", "label", "cells"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text", _TEXT_BYTES):
             sets = shingle_sets(batch.column("text"), width)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, sets.ends).astype(np.int32)), pa.array(sets.values.view(np.int64)))
             names = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-            found = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "shingles"])
-            yield found.filter(pc.equal(batch.column("f1"), pa.array(names)))  # of rows that repeat a doc_id, those with the text that counts
+            found = pa.RecordBatch.from_arrays([batch.column("doc"), lists], ["doc", "shingles"])
+            yield found.filter(pc.equal(batch.column("f1"), pa.array(names)))
+
+    found = _with(rows, member.select("doc", "f1"), F.col("doc_id") == F.col("doc")).select("doc", "text", "f1")
+    found = found.mapInArrow(read, "doc bigint, shingles array<bigint>")
+    return materialize(found.dropDuplicates(["doc"]) if repeats else found, "sets")
 
-    found = rows.join(given, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "component", "label", "f1", "cells")
-    found = found.mapInArrow(read, "doc_id bigint, component bigint, label bigint, cells array<struct<i:int,j:int,side:int>>, shingles array<bigint>")
-    met = found.dropDuplicates(["doc_id"]) if repeats else found
-    met = met.select("doc_id", "component", "label", F.explode("cells").alias("c"), "shingles").select("doc_id", "component", "label", "c.*", "shingles")
+
+def _confirmed(sets: DataFrame, dealt: DataFrame, cells: Column, percent: int, coordinates: int, matches: int) -> DataFrame:
+    """Links (a, b) within the cells that documents meet in.
+
+    dealt: doc, component, label and what `cells` reads, an array of (i, j, side).
+    """
+    given = materialize(dealt.select(F.col("doc").alias("_doc"), "component", "label", cells.alias("cells")), "dealt")
+    met = _with(sets, given, F.col("doc") == F.col("_doc")).select("doc", "component", "label", F.explode("cells").alias("c"), "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
-        flat = table.column("shingles").combine_chunks().flatten().to_numpy()
+        flat = table.column("shingles").combine_chunks().flatten().to_numpy().view(np.uint64)
         ends = np.cumsum(pc.list_value_length(table.column("shingles")).to_numpy())
-        sets = np.split(flat.view(np.uint64), ends[:-1])
-        sigs = min_hashes(Sets(flat.view(np.uint64), ends), coordinates)
-        a, b = cell_links(*(table.column(c).to_numpy() for c in ("doc_id", "side", "label")), sigs, sets, percent, matches)
+        sigs = min_hashes(Sets(flat, ends), coordinates)
+        a, b = cell_links(*(table.column(c).to_numpy() for c in ("doc", "side", "label")), sigs, np.split(flat, ends[:-1]), percent, matches)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    met = met.select("doc", "component", "label", "c.*", "shingles")
     return met.groupBy("component", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
@@ -240,7 +250,8 @@ def _links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, percent:
     # the first block meets every block
     every = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda j: cell(zero, j, F.when(j == 0, zero).otherwise(one)))
     first = F.when(F.col("block") == 0, every).otherwise(F.array(cell(zero, F.col("block"), zero)))
-    link = lambda rows, how: materialize(_confirmed(docs, rows, how, percent, width, coordinates, matches, repeats), "links")
+    sets = _sets(docs, member, width, repeats)
+    link = lambda rows, how: materialize(_confirmed(sets, rows, how, percent, coordinates, matches), "links")
     links = link(dealt.withColumn("label", F.col("doc")), first)
     if sized.where("blocks > 1").isEmpty():
         return links
