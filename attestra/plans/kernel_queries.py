@@ -110,7 +110,7 @@ def law_parts(spark, sf_dir):
     return _orders(spark, sf_dir).select("o_orderkey", K.parse_fields(text, F.lit("lei"))["campos"].alias("c")).select("o_orderkey", "c.artigo", "c.inciso", "c.alinea", "c.diploma")
 
 
-@query(f"select o_orderkey, case when o_orderkey % 3 < 2 then {_SMALL} end as sumula, o_orderkey % 3 = 0 as vinculante, case when o_orderkey % 3 = 2 then {_N} end as numero, case when o_orderkey % 3 = 2 then 7 when {_SMALL} = '515' then 2 else 0 end as variantes from orders")
+@query(f"select o_orderkey, case when o_orderkey % 3 < 2 then {_SMALL} end as sumula, o_orderkey % 3 = 0 as vinculante, case when o_orderkey % 3 = 2 then {_N} end as numero, case when o_orderkey % 3 = 2 then 7 else 0 end + case when case when o_orderkey % 3 = 2 then o_custkey % 1000 else 100 + o_custkey % 800 end = 515 then 2 else 0 end as variantes from orders")
 def summary_fields(spark, sf_dir):
     """515 reads as SLS, a class of two spellings."""
     text = F.expr(f"case o_orderkey % 3 when 0 then 'Súmula Vinculante nº ' || {_SMALL} when 1 then 'sum. ' || {_SMALL} || ' do TST' else 'AgRg ' || {_DOTTED} end")
