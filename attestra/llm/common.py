@@ -86,7 +86,7 @@ def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def byte_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def byte_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text, so that long texts don't meet in one."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -1,17 +1,18 @@
 """Document quality: random-indexing word vectors, pooled, and a two-layer network with a calibrated temperature.
 
 Words are runs of letters, digits and non-ASCII bytes, marks are runs of other visible characters. A word falls into one of
-a fixed number of buckets by a hash of its lower-cased bytes, and its shape (case, digits, length) into one of a few
-more; a mark has a bucket only. Every bucket has a sparse random index vector of plus and minus ones that follows from
-its number, and its context vector is the sum of the index vectors of its neighbours, up to WINDOW words away, over
-all documents. Those sums are whole numbers, so they don't depend on how the documents are partitioned.
+2^14 buckets by a hash of its lower-cased bytes, and its shape (case, digits, length) into one of a few more; a mark has a
+bucket only. Every bucket has a sparse random index vector of plus and minus ones that follows from its number. The context
+vector of a bucket is the sum of the index vectors of the words up to WINDOW places away from its own, over all documents.
+Those sums are whole numbers, so they don't depend on how the documents are partitioned. The number of buckets is a
+parameter that bounds what is sent to all tasks (3 MB); words of one bucket share a vector.
 
 A document's features are the mean of its words' unit context vectors, that mean's length, and three plain figures: the
 logarithm of the number of words, the share of distinct ones and the share of words that repeat the one before. The
 network's probabilities are divided by a temperature (in the logit) fitted on labelled rows kept apart for that.
 
 Labels are learned from a bounded sample: the TRAIN_ROWS rows with the smallest hash of doc_id. Everything else covers
-all rows and whole texts.
+all rows and whole texts, of any length.
 """
 
 from __future__ import annotations
@@ -28,79 +29,127 @@ from pyspark.sql import types as T
 from attestra.llm.common import byte_batches
 from attestra.llm.shingles import _BYTE, _INVERSE, _POWER, _mix
 
-WORDS, SHAPES, DIMS, NONZERO, WINDOW = 2028, 20, 48, 6, 2
+WORDS, SHAPES, DIMS, NONZERO, WINDOW = 1 << 14, 20, 48, 6, 2
 BUCKETS = WORDS + SHAPES
 TRAIN_ROWS, HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 20_000, 32, 60, 1_200, 256, 3e-3, 1e-4
 THRESHOLD = 0.3
 _U = np.uint64
-_PART = 1 << 21
+#: Bytes of a text, and words of many, that are worked on at once; results don't depend on them.
+_PART, _PIECE = 1 << 20, 1 << 16
 
 _KIND = np.full(256, 2, np.uint8)  # 0 between words, 1 in a word, 2 in a mark
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KIND[[*range(33)]] = 0
-_UPPER = np.zeros(256, np.int64)
+_UPPER = np.zeros(256, np.int8)
 _UPPER[65:91] = 1
-_DIGIT = np.zeros(256, np.int64)
+_DIGIT = np.zeros(256, np.int8)
 _DIGIT[48:58] = 1
 
 
 def index_vectors() -> np.ndarray:
-    """BUCKETS rows of DIMS numbers, NONZERO of them plus or minus one, by the bucket's number alone."""
-    out = np.zeros((BUCKETS, DIMS))
-    for bucket in range(BUCKETS):
-        rng = np.random.default_rng(bucket)
-        out[bucket, rng.choice(DIMS, NONZERO, replace=False)] = rng.choice((-1, 1), NONZERO)
+    """BUCKETS rows of DIMS numbers, NONZERO of them plus or minus one, by the bucket's number alone; and a row of zeros."""
+    keys = _mix(np.arange(BUCKETS * DIMS, dtype=_U).reshape(BUCKETS, DIMS) + _U(1 << 40))
+    at = np.argsort(keys, axis=1)[:, :NONZERO]
+    out = np.zeros((BUCKETS + 1, DIMS), np.int16)
+    np.put_along_axis(out[:-1], at, np.where(np.take_along_axis(keys, at, 1) & _U(1), 1, -1).astype(np.int16), 1)
+    return out
+
+
+def _cuts(kind: np.ndarray) -> np.ndarray:
+    """Where parts of a text end: behind a byte of no word, every _PART bytes or at the next one."""
+    cuts, at = [0], 0
+    while len(kind) - at > _PART:
+        free = np.flatnonzero(kind[at + _PART // 2 : at + _PART] == 0)
+        at = at + _PART // 2 + int(free[-1]) + 1 if len(free) else at + _PART
+        if not len(free):  # a run without a gap goes on as far as it does
+            rest = np.flatnonzero(kind[at:] == 0)
+            at = at + int(rest[0]) + 1 if len(rest) else len(kind)
+        cuts.append(at)
+    return np.array(cuts if cuts[-1] == len(kind) else [*cuts, len(kind)])
+
+
+def _hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each word; those of runs longer than the powers at hand are made of their pieces."""
+    if len(part) < len(_POWER):
+        total = np.append(_U(0), np.cumsum(_BYTE[part] * _POWER[: len(part)]))
+        return _mix((total[ends] - total[starts]) * _INVERSE[starts])
+    out = np.zeros(len(starts), _U)
+    for k, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        h = np.zeros(1, _U)
+        for at in range(start, end, _PART):
+            piece = part[at : min(at + _PART, end)]
+            h = (_mix(h) if at > start else h) + (_BYTE[piece] * _POWER[: len(piece)]).sum(dtype=_U, keepdims=True)
+        out[k] = _mix(h)[0]
     return out
 
 
-def _words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each word or mark, and of its shape (-1 for marks)."""
+def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word or mark, and the bucket of its shape (-1 for marks)."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    buckets, shapes = [], []
-    # parts end between two bytes wherever that is; a word over the seam counts as two
-    for at in range(0, len(raw), _PART):
-        part = raw[at : at + _PART]
-        kind = _KIND[part]
+    hashes, shapes = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    kinds = _KIND[raw]
+    cuts = _cuts(kinds)
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part, kind = raw[low:high], kinds[low:high]
         cut = np.flatnonzero(kind[1:] != kind[:-1]) + 1
         starts, ends = np.append(0, cut), np.append(cut, len(part))
         seen = kind[starts] > 0
         starts, ends = starts[seen], ends[seen]
-        sums = lambda v: np.append(v.dtype.type(0), np.cumsum(v))  # noqa: E731, B023
-        total, upper, digit = sums(_BYTE[part] * _POWER[: len(part)]), sums(_UPPER[part]), sums(_DIGIT[part])
-        buckets.append((_mix((total[ends] - total[starts]) * _INVERSE[starts]) % _U(WORDS)).astype(np.int64))
+        hashes.append(_hashes(part, starts, ends))
+        sums = lambda v: np.append(0, np.cumsum(v, dtype=np.int32))
+        upper, digit = sums(_UPPER[part]), sums(_DIGIT[part])
         size, up = ends - starts, upper[ends] - upper[starts]
         first = _UPPER[part[starts]] > 0
         case = np.where(digit[ends] > digit[starts], 4, np.where(up == 0, 0, np.where((up == 1) & first, 1, np.where(up == size, 2, 3))))
         long = np.searchsorted((3, 7, 12), size)
         shapes.append(np.where(kind[starts] == 1, WORDS + 4 * case + long, -1))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *buckets]), np.concatenate([none, *shapes])
+    return np.concatenate(hashes), np.concatenate(shapes)
+
+
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % _U(WORDS)).astype(np.int64)
+
+
+def add_contexts(total: np.ndarray, words: np.ndarray, shapes: np.ndarray, index: np.ndarray) -> None:
+    """Adds to each word's and shape's row the index vectors of the words near by; BUCKETS is no word, shapes of -1 have no row."""
+    for low in range(0, len(words), _PIECE):
+        high = min(low + _PIECE, len(words))
+        left, right = max(0, low - WINDOW), min(high + WINDOW, len(words))
+        vectors = index[words[left:right]]
+        near = np.zeros((high - low, DIMS), np.int16)
+        for far in range(1, WINDOW + 1):
+            for step in (-far, far):
+                a, b = max(low, left - step), min(high, right - step)
+                near[a - low : b - low] += vectors[a + step - left : b + step - left]
+        for rows in (words[low:high], shapes[low:high]):
+            kept = np.flatnonzero((rows >= 0) & (rows < BUCKETS))
+            if len(kept):
+                kept = kept[np.argsort(rows[kept], kind="stable")]
+                found = rows[kept]
+                first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+                total[found[first]] += np.add.reduceat(near[kept], first, axis=0, dtype=np.int64)
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
     """BUCKETS rows of DIMS whole numbers: the sums of neighbours' index vectors over all documents.
 
-    Each task counts its own documents' neighbours and sends one row for each bucket it has met; what reaches the
-    driver is one row for each bucket.
+    Each task adds up its own documents and sends one row for each bucket it has met; what reaches the driver is one row
+    for each bucket.
     """
     names = [f"d{k}" for k in range(DIMS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = np.zeros(BUCKETS * BUCKETS, np.int64)
-        for batch in byte_batches(batches, "text", 4_000_000):
-            pairs = []
+        total, index = np.zeros((BUCKETS, DIMS), np.int64), index_vectors()
+        apart = np.full(WINDOW, BUCKETS)
+        for batch in byte_batches(batches, "text", 1_000_000):
+            words, shapes = [], []
             for text in batch.column("text").to_pylist():
-                words, shapes = _words(text)
-                for far in range(1, WINDOW + 1):
-                    left, right = words[:-far] * BUCKETS, words[far:]
-                    pairs.append(left + right)
-                    shaped = shapes[far:] >= 0
-                    pairs.append((left + shapes[far:])[shaped])
-            if pairs:
-                met += np.bincount(np.concatenate(pairs), minlength=BUCKETS * BUCKETS)
-        counts = met.reshape(BUCKETS, BUCKETS).astype(np.float64)
-        total = ((counts + counts.T) @ index_vectors()).astype(np.int64)
-        some = np.flatnonzero(counts.any(0) | counts.any(1))
+                hashes, shape = words_of(text)
+                words += [buckets_of(hashes), apart]
+                shapes += [shape, np.full(WINDOW, -1)]
+            if words:
+                add_contexts(total, np.concatenate(words), np.concatenate(shapes), index)
+        some = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(DIMS))], ["bucket", *names])
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket bigint, " + ", ".join(f"{n} bigint" for n in names))
@@ -116,19 +165,20 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     shares = vectors / np.where(total > 0, total, 1)
     shares -= np.where(total > 0, shares[total[:, 0] > 0].mean(0) if (total > 0).any() else 0, 0)
     norms = np.sqrt((shares**2).sum(1, keepdims=True))
-    return shares / np.where(norms > 0, norms, 1)
+    return (shares / np.where(norms > 0, norms, 1)).astype(np.float32)
 
 
 def features(texts: list[str | None], units: np.ndarray) -> np.ndarray:
     """DIMS + 4 numbers for each text; a null text is empty."""
     out = np.zeros((len(texts), DIMS + 4))
     for k, text in enumerate(texts):
-        words, shapes = _words(text)
-        if n := len(words):
-            counts = np.bincount(words, minlength=BUCKETS) + np.bincount(shapes[shapes >= 0], minlength=BUCKETS)
-            pooled = counts @ units / n
+        hashes, shapes = words_of(text)
+        if n := len(hashes):
+            words, shapes = buckets_of(hashes), shapes[shapes >= 0]
+            parts = (units[rows[at : at + _PIECE]].sum(0, dtype=np.float64) for rows in (words, shapes) for at in range(0, len(rows), _PIECE))
+            pooled = sum(parts, np.zeros(DIMS)) / n
             out[k, :DIMS] = pooled
-            out[k, DIMS:] = np.sqrt((pooled**2).sum()), np.log1p(n) / 10, (counts[:WORDS] > 0).sum() / min(n, WORDS), (words[1:] == words[:-1]).mean() if n > 1 else 0
+            out[k, DIMS:] = np.sqrt((pooled**2).sum()), np.log1p(n) / 10, len(np.unique(hashes)) / n, (hashes[1:] == hashes[:-1]).mean() if n > 1 else 0
     return out
 
 

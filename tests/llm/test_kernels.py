@@ -254,10 +254,54 @@ def test_network_learns_and_is_calibrated():
     assert quality.train(x[:0], y[:0], np.zeros((1, 1))).probabilities(x)[0] == pytest.approx(0.5)
 
 
-def test_words_and_shapes():
-    words, shapes = quality._words("The THE the 12 a!! é")
+def test_probabilities_are_calibrated():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8000, 6))
+    truth = 1 / (1 + np.exp(-2 * x[:, 0]))
+    y = (rng.random(8000) < truth).astype(float)
+    m = quality.train(x[:4000], y[:4000], np.zeros((1, 1)))
+    p = m.probabilities(x[4000:])
+    # expected calibration error over ten bins of held-out rows, and against the network without its temperature
+    error = lambda p: sum(abs(p[k].mean() - y[4000:][k].mean()) * k.mean() for e in range(10) if (k := (p * 10).astype(int).clip(0, 9) == e).any())
+    plain = quality.Model(m.units, m.center, m.spread, m.layers, 1.0).probabilities(x[4000:])
+    assert error(p) < 0.06 and error(p) <= error(plain) + 0.01 and m.temperature != 1.0
+
+
+def test_words_and_shapes(monkeypatch):
+    words, shapes = quality.words_of("The THE the 12 a!! é")
     assert words[0] == words[1] == words[2] and len(set(shapes[:3].tolist())) == 3 and shapes[5] == -1
-    assert all(len(x) == 0 for x in quality._words(None))
+    assert all(len(x) == 0 for x in quality.words_of(None)) and len(quality.words_of("a" * (2**21 + 3))[0]) == 1
+    rng = random.Random(3)
+    text = "".join(rng.choice(["ab", "C", "é", "12", "!?", " ", "\n"]) for _ in range(3000)) + "x" * 200 + " end"
+    whole = quality.words_of(text)
+    monkeypatch.setattr(quality, "_PART", 64)
+    assert all((a == b).all() for a, b in zip(whole, quality.words_of(text), strict=True))
+    monkeypatch.setattr(quality, "_POWER", quality._POWER[:100])
+    long = quality.words_of(text)
+    assert (long[0][:-2] == whole[0][:-2]).all() and len(long[0]) == len(whole[0])
+
+
+def test_context_sums_against_loops(monkeypatch):
+    monkeypatch.setattr(quality, "_PIECE", 7)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(["a", "B", "cc", "!", "9", "Dd"], k=rng.randrange(12))) for _ in range(30)]
+    index, apart = quality.index_vectors(), quality.WINDOW
+    assert (np.abs(index[:-1]).sum(1) == quality.NONZERO).all() and not index[-1].any()
+    got, expect = np.zeros((2, quality.BUCKETS, quality.DIMS), np.int64)
+    words, shapes = [], []
+    for text in texts:
+        h, s = quality.words_of(text)
+        w = quality.buckets_of(h)
+        words += [*w, *[quality.BUCKETS] * apart]
+        shapes += [*s, *[-1] * apart]
+        for i in range(len(w)):
+            for j in range(max(0, i - 2), min(len(w), i + 3)):
+                if i != j:
+                    expect[w[i]] += index[w[j]]
+                    if s[i] >= 0:
+                        expect[s[i]] += index[w[j]]
+    quality.add_contexts(got, np.array(words), np.array(shapes), index)
+    assert (got == expect).all() and expect.any()
 
 
 # --- 8
