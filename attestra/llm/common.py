@@ -96,3 +96,4 @@ def byte_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000
             stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()

@@ -35,7 +35,7 @@ TRAIN_ROWS, HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 20_000, 32, 60, 1_
 THRESHOLD = 0.3
 _U = np.uint64
 #: Bytes of a text, and words of many, that are worked on at once; results don't depend on them.
-_PART, _PIECE = 1 << 20, 1 << 16
+_PART, _PIECE = 1 << 18, 1 << 16
 
 _KIND = np.full(256, 2, np.uint8)  # 0 between words, 1 in a word, 2 in a mark
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -126,8 +126,9 @@ def add_contexts(total: np.ndarray, words: np.ndarray, shapes: np.ndarray, index
             if len(kept):
                 kept = kept[np.argsort(rows[kept], kind="stable")]
                 found = rows[kept]
-                first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-                total[found[first]] += np.add.reduceat(near[kept], first, axis=0, dtype=np.int64)
+                last = np.flatnonzero(np.append(found[1:] != found[:-1], True))
+                sums = np.cumsum(near[kept], axis=0, dtype=np.int32)[last]
+                total[found[last]] += np.diff(sums, axis=0, prepend=0)
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:

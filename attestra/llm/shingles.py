@@ -28,7 +28,8 @@ _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BASE = 0x5851F42D4C957F2D
-_CHUNK = 1 << 22
+#: Bytes hashed at once; a power and its inverse are kept for each (4 MB each in a worker).
+_CHUNK = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -56,7 +57,7 @@ class Sets:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """One hash for each word. Words over 4 MiB are hashed from their parts, so that any text can be read."""
+    """One hash for each word. Words over 512 KiB are hashed from their parts, so that any text can be read."""
     raw = np.frombuffer(text, np.uint8)
     inside = ~_SPACE[raw]
     edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
