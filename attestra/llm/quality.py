@@ -115,20 +115,19 @@ def add_contexts(total: np.ndarray, words: np.ndarray, shapes: np.ndarray, index
     for low in range(0, len(words), _PIECE):
         high = min(low + _PIECE, len(words))
         left, right = max(0, low - WINDOW), min(high + WINDOW, len(words))
-        vectors = index[words[left:right]]
-        near = np.zeros((high - low, DIMS), np.int16)
+        vectors = np.take(index.T, words[left:right], axis=1)
+        near = np.zeros((DIMS, high - low), np.int16)
         for far in range(1, WINDOW + 1):
             for step in (-far, far):
                 a, b = max(low, left - step), min(high, right - step)
-                near[a - low : b - low] += vectors[a + step - left : b + step - left]
+                near[:, a - low : b - low] += vectors[:, a + step - left : b + step - left]
         for rows in (words[low:high], shapes[low:high]):
             kept = np.flatnonzero((rows >= 0) & (rows < BUCKETS))
             if len(kept):
                 kept = kept[np.argsort(rows[kept], kind="stable")]
                 found = rows[kept]
-                last = np.flatnonzero(np.append(found[1:] != found[:-1], True))
-                sums = np.cumsum(near[kept], axis=0, dtype=np.int32)[last]
-                total[found[last]] += np.diff(sums, axis=0, prepend=0)
+                first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+                total[found[first]] += np.add.reduceat(np.take(near, kept, axis=1), first, axis=1, dtype=np.int32).T
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
