@@ -7,9 +7,11 @@ each part of a host is split further by the most probable segmentation into word
 that names run together count by their words. Word counts come from all URLs: the parts that hosts and paths delimit
 themselves, each distinct host once, and the seed words. A word that no count holds costs more with each letter.
 
-There are no labels for URLs, so classes come from seeds: URLs whose host is segmented into a seed word train the blocked
-class, all others the allowed one, over all URLs. What decides is the sum of the tokens'
-log odds plus the classes' prior, above a margin.
+There are no labels for URLs, so the classes are distant ones: URLs whose host is segmented into a seed word train the
+blocked class, all others the allowed one, over all URLs. The seeds themselves aren't counted, as their counts would only
+say that they are seeds: a seed is evidence of a fixed weight, every other token's odds are counted. What decides is the sum
+of the tokens' log odds plus the classes' prior, above a margin; so words that keep company with seeds can block a host
+without one, and words of clean sites can outweigh a seed.
 
 Nothing is left out of the counts: words, segmentations, tokens and odds are written tables that grow with the URLs, and
 are joined with the distinct hosts and paths. Only sums are collected.
@@ -37,8 +39,11 @@ SEEDS = (
 )
 #: Words that names are often run together with.
 COMMON = ("farm", "win", "free", "online", "best", "shop", "store", "deal", "deals", "news", "blog", "mail", "play", "game", "games", "site", "web", "net", "my", "the", "and", "for", "king", "world", "top", "club", "live", "zone", "city", "now", "hub")
-SEED_WEIGHT, COMMON_WEIGHT, LONGEST = 200, 50, 24
-MARGIN = 0.0
+SEED_WEIGHT, COMMON_WEIGHT = 200, 50
+#: Letters of a label of a host name at most, by the standard of names; no word of a host is longer.
+LONGEST = 63
+#: Log odds of a seed word, and what a URL's sum has to be above.
+SEED_ODDS, MARGIN = 4.0, 0.0
 #: Occurrences that a token's share among all tokens counts for in either class.
 SMOOTHING = 50.0
 
@@ -134,11 +139,13 @@ def fit_bayes(pairs: DataFrame, host_tokens: DataFrame) -> tuple[DataFrame, floa
     """token and odds of every token, written, and the classes' prior.
 
     pairs: distinct (host, path, n); host_tokens: host, token and times. Both classes are smoothed towards both together.
+    Seeds have fixed odds and aren't counted.
     """
-    trained = materialize(host_tokens.where(F.col("token").isin([f"h:{w}" for w in SEEDS])).select("host", F.lit(True).alias("seeded")).distinct(), "url-seeded")
+    seeds = [f"h:{w}" for w in SEEDS]
+    trained = materialize(host_tokens.where(F.col("token").isin(seeds)).select("host", F.lit(True).alias("seeded")).distinct(), "url-seeded")
     marked = pairs.join(trained, "host", "left").withColumn("seeded", F.coalesce("seeded", F.lit(False)))
     hosts = marked.groupBy("host", "seeded").agg(F.sum("n").alias("n"))
-    of_hosts = host_tokens.join(materialize(hosts, "url-hosts"), "host").select("token", "seeded", (F.col("times") * F.col("n")).alias("n"))
+    of_hosts = host_tokens.where(~F.col("token").isin(seeds)).join(materialize(hosts, "url-hosts"), "host").select("token", "seeded", (F.col("times") * F.col("n")).alias("n"))
     of_paths = marked.select(F.explode(_path_tokens()).alias("token"), "seeded", "n")
     of_class = lambda seeded: F.sum(F.when(F.col("seeded") == seeded, F.col("n")).otherwise(0))
     counts = materialize(of_hosts.union(of_paths).groupBy("token").agg(of_class(True).alias("bad"), of_class(False).alias("good")), "url-tokens")
@@ -147,7 +154,8 @@ def fit_bayes(pairs: DataFrame, host_tokens: DataFrame) -> tuple[DataFrame, floa
     both = F.lit(SMOOTHING) * (F.col("bad") + F.col("good")) / F.lit(float(max(1, sum(sums))))
     share = lambda c, of: (F.col(c) + both) / F.lit(of + SMOOTHING)
     odds = counts.select("token", F.log(share("bad", sums[0]) / share("good", sums[1])).cast(_EXACT).alias("odds"))
-    return materialize(odds, "url-odds"), math.log((n_bad + 1) / (n_good + 1))
+    fixed = pairs.sparkSession.createDataFrame([(t,) for t in seeds], "token string").select("token", F.lit(SEED_ODDS).cast(_EXACT).alias("odds"))
+    return materialize(odds.union(fixed), "url-odds"), math.log((n_bad + 1) / (n_good + 1))
 
 
 def _path_tokens() -> Column:

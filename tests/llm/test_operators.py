@@ -1,8 +1,11 @@
 """The operators over small tables: nulls, empty and repeated rows, ties, extra columns and empty tables."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -213,6 +216,66 @@ def test_url_rules_and_classifier(spark):
     assert url_filter.judged(df.limit(0), rules).count() == 0
 
 
+def _judged_by_loops(urls):
+    """Counts, odds and verdicts without rules, in plain Python."""
+    U = url_filter
+    parts = []
+    for u in urls:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        parts.append((re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", ""))
+    runs = lambda t: [w for w in re.split("[^a-z]+", t.lower()) if w]
+    sites = {(w, ".".join(h.split(".")[-2:])) for h, _ in parts for w in runs(h)}
+    counts = Counter(w for w, _ in sites)
+    counts = Counter({w: n for w, n in counts.items() if n > 1})
+    counts.update(w for _, p in parts for w in runs(p))
+    counts = Counter({w: n for w, n in counts.items() if len(w) <= 63})
+    total = max(1, sum(counts.values()))
+    for found, weight in ((U.SEEDS, U.SEED_WEIGHT), (U.COMMON, U.COMMON_WEIGHT)):
+        for w in found:
+            counts[w] = max(counts[w], weight, total * weight // 20_000)
+    whole = sum(counts.values())
+    words = U.Words({w: math.log(whole / n) for w, n in counts.items()}, math.log(whole + 1))
+
+    def tokens(h, p):
+        labels = h.split(":")[0].split(".")
+        host = [w for r in runs(".".join(labels[:-1] if len(labels) > 1 else labels)) for w in words.split(r)]
+        return [f"h:{w}" for w in host], [f"p:{w}" for w in runs(p)]
+
+    seeds, sums, urls_of = {f"h:{w}" for w in U.SEEDS}, {True: Counter(), False: Counter()}, Counter()
+    for h, p in parts:
+        host, path = tokens(h, p)
+        seeded = not seeds.isdisjoint(host)
+        urls_of[seeded] += 1
+        sums[seeded].update(t for t in host + path if t not in seeds)
+    n = {k: sum(c.values()) for k, c in sums.items()}
+    every = max(1, n[True] + n[False])
+    odds = dict.fromkeys(seeds, U.SEED_ODDS)
+    for t in {*sums[True], *sums[False]}:
+        both = U.SMOOTHING * (sums[True][t] + sums[False][t]) / every
+        odds[t] = math.log((sums[True][t] + both) / (n[True] + U.SMOOTHING) / ((sums[False][t] + both) / (n[False] + U.SMOOTHING)))
+    prior = math.log((urls_of[True] + 1) / (urls_of[False] + 1))
+    return ["block" if prior + sum(odds[t] for side in tokens(h, p) for t in side) > U.MARGIN else "allow" for h, p in parts], parts
+
+
+def test_url_classifier_against_loops(spark):
+    rng = random.Random(12)
+    bad = ["casino", "lottery", "winners", "luckyday", "jackpot", "bonus"]
+    good = ["garden", "river", "museum", "library", "stone", "music"]
+    urls = [None, "no scheme", "http://" + "z" * 300 + ".net/a", "http://x.net/" + "long/" * 3000]
+    for k in range(600):
+        names, suffix = (bad, "bonus") if k % 4 == 0 else (good, "page")
+        host = rng.choice(["", "-", "."]).join(rng.sample(names, 2))
+        urls.append(f"http://{rng.choice(['www.', 'm.', ''])}{host}.{rng.choice(['net', 'com'])}/{rng.choice(['en', 'fr'])}/{suffix}{rng.choice(['', '/win'])}")
+    urls += ["http://winnersluckyday.net/bonus", "http://track.museum.library.river.music.net/page", "http://a.b.c/" + "garden/" * 5] * 2
+    expect, parts = _judged_by_loops(urls)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["host"], r["path"]) for r in url_filter.judged(df, ()).collect()}
+    assert [got[k] for k in range(len(urls))] == [(v, *p) for v, p in zip(expect, parts, strict=True)]
+    seeded = [any(w in url_filter.SEEDS for w in re.split("[^a-z]+", h)) for h, _ in parts]
+    # counted words block hosts without a seed and outweigh one
+    assert {(s, v) for s, v in zip(seeded, expect, strict=True)} == {(True, "block"), (True, "allow"), (False, "block"), (False, "allow")}
+
+
 def test_url_classifier_counts_rare_tokens(spark):
     # 50,100 path words of five URLs each, and one of the blocked class that is rarer than all of them
     word = F.translate((F.col("id") % 50_100 + 100_000).cast("string"), "0123456789", "abcdefghij")
