@@ -98,6 +98,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     a vec_id are vectors of their own. component_id is the smallest vec_id reachable by links. Rows with a null vec_id
     have a null component and are kept. Other columns are not read.
     """
+    narrow = dict(vectors.dtypes)["embedding"] == "array<float>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     fit = usable("vector") & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     vector = F.transform("vector", lambda x: x + F.lit(0.0))  # no negative zeros
@@ -109,8 +110,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     reps = named.where("vec_id = rep")
     sizes = materialize(reps.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "sizes")
     dealt = reps.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    # components that came as single-precision numbers travel as those, nothing is lost
+    travels = F.col("vector").cast("array<float>") if narrow else F.col("vector")
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = met.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "f1", "weight", "vector")
+    cells = met.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "f1", "weight", travels.alias("vector"))
     found = materialize(cells.groupBy("label", "dim", "i", "j").applyInArrow(_cell(threshold), _CELL), "links")
 
     component = connected_components(found.where("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))

@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_PADDING, PADDING_RATIO = 1_000_000, 8
+#: Columns that a cell can span at most by the standard, and how deep browsers nest elements.
+WIDEST, DEEPEST = 1000, 512
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -328,6 +330,8 @@ def render(root: Node) -> str:
             if name == "br":
                 if lines.now:
                     lines.line()
+                else:
+                    lines.blank = True  # an empty line, as after another br or a block
                 continue
             if name == "hr":
                 lines.gap()
@@ -365,7 +369,7 @@ def render(root: Node) -> str:
                     kind[1] = _number(x.attributes.get("value"), kind[1])
                     at = f"{kind[1]}. "
                     kind[1] += 1
-                indent = "  " * max(0, min(depth, 20))
+                indent = "  " * max(0, min(depth, DEEPEST))
                 work.append(("item", lines.prefix))
                 lines.marker, lines.prefix = indent + at, indent + " " * len(at)
             work.append(("out", x))
@@ -395,7 +399,7 @@ def render(root: Node) -> str:
                     while held.get(len(row), -1) >= at:
                         row.append("")
                     first = len(row)
-                    row += [text, *[""] * (min(50, _number(x.attributes.get("colspan"), 1)) - 1)]
+                    row += [text, *[""] * (min(WIDEST, _number(x.attributes.get("colspan"), 1)) - 1)]
                     if (span := _number(x.attributes.get("rowspan"), 1)) != 1 and span >= 0:
                         # 0 stands for the rest of the row group
                         held.update(dict.fromkeys(range(first, len(row)), at + span - 1 if span else 1 << 30))

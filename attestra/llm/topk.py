@@ -3,7 +3,7 @@
 Candidates are dealt into blocks by a hash of their id, queries into groups, and each block meets each group once, in a
 cell of bounded size. In a cell every dimension has its candidates sorted, and each list is read from its high end for
 queries with a positive component there and from its low end for those with a negative one. Lists are read to a depth
-that doubles; a candidate met in any list is scored in full, for all queries of the cell that aren't done. A query is
+that grows fourfold; a candidate met in any list is scored in full, for all queries of the cell that aren't done. A query is
 done when the sum of its components times the values at its lists' depths, which bounds every candidate not yet met,
 is below its kth score so far: then none of them can enter, not even by a tie.
 
@@ -104,7 +104,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, candidates: int = CA
     """
     fit = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "vector").where(usable("vector") & F.col("vec_id").isNotNull())
     fit = materialize(fit.withColumns({"dim": F.size("vector"), "query": F.coalesce(is_query, F.lit(False))}), "vectors")
-    n, m = fit.agg(F.count(F.lit(1)), F.count_if("query")).first()
+    largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    n, m, most = fit.agg(F.count(F.lit(1)), F.count_if("query"), F.max(largest)).first()
+    # whole numbers travel in the narrowest type that holds them all
+    fit = fit.withColumn("vector", F.col("vector").cast("array<smallint>" if (most or 0) < 2**15 else "array<int>" if most < 2**31 else "array<double>"))
     blocks, groups = max(1, math.ceil(n / candidates)), max(1, math.ceil(m / queries))
     mine = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -48,6 +49,39 @@ def _best_score(m, text):
     return best[-1]
 
 
+def _message(*fields):
+    """A protocol buffer message of numbers, floats and bytes by field."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def test_unigram_model_files_encode_as_the_public_library_does(tmp_path):
+    import sentencepiece
+
+    rng = random.Random(11)
+    words = ["the", "house", "houses", "use", "s", "of", "\u2581the", "\u2581house", "\u2581of", "\u2581", "\u2581\u2581", "é", "ho", "us", "es", *"abcdefghijklmnopqrstuvwxyz"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((w, -rng.uniform(1, 9), 1) for w in dict.fromkeys(words))]
+    made = b"".join(_message((1, _message((1, p.encode()), (2, s), (3, kind)))) for p, s, kind in pieces)
+    made += _message((2, _message((3, 1), (35, 1), (40, 0), (41, 1), (42, 2)))) + _message((3, _message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(made)
+    theirs, own = sentencepiece.SentencePieceProcessor(model_proto=made), Model.read(str(path))
+    assert own.scores[own.pieces.index(next(p for p in own.pieces if p[0] == "the"))] < 0
+    texts = ["the houses of the house", "", "  two  spaces ", "ééxé 1\n漢", *("".join(rng.choices("the ousxyfé 漢", k=30)) for _ in range(300))]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        ids = np.frombuffer(ids, "<i4").tolist()
+        assert ids == theirs.encode(text), text
+        assert own.decode(ids) == text
+
+
 def test_sentencepiece_finds_the_best_path_and_round_trips():
     m, rng = _vocabulary(), random.Random(3)
     texts = ["".join(rng.choices("abcé z\n☃", k=rng.randint(0, 14))) for _ in range(300)] + ["", " ", "   ", "x" * 500, "abc" * 200]
