@@ -428,6 +428,9 @@ def _page_text_udf(pages: pa.Array) -> pa.Array:
 
 
 def extract_text(html_column: str | Column = "html") -> Column:
-    """The text of a column of pages."""
+    """The text of a column of pages: null for null, empty for an empty page or one without visible text.
+
+    Each row is read alone: repeated rows give equal texts, an empty table gives no rows.
+    """
     c = F.col(html_column) if isinstance(html_column, str) else html_column
     return _page_text_udf(c.cast("string"))

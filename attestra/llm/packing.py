@@ -232,6 +232,10 @@ def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
-    """Every piece of every document with its place: sequence_id, and offset within the sequence, gapless from 0."""
+    """Every piece of every document with its place: sequence_id, and offset within the sequence, gapless from 0.
+
+    A null text is empty, so it is one piece of the separator alone. Rows that repeat an id, or have none, are documents of
+    their own; of equal lengths which goes where follows from the order of doc_id and piece. An empty table gives no rows.
+    """
     pieces = materialize(tokenized_pieces(docs, tokenizer, capacity, separator), "pieces")
     return pack(pieces, ["doc_id", "piece"], "length", capacity)

@@ -159,7 +159,10 @@ def find_pii(text: str | Column) -> Column:
 
 
 def redact_pii(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """The same columns with personal data replaced; n_chars, where there is such a column, follows. Clean texts stay as they are."""
+    """The same columns with personal data replaced; n_chars, where there is such a column, follows. Clean texts stay as they are.
+
+    A null text stays null, an empty one empty; repeated rows are changed alike, an empty table stays empty.
+    """
     clean = F.coalesce(_redact_udf(F.when(_suspect(F.col(text)), F.col(text))), F.col(text))
     out = docs.withColumn(text, clean)
     if n_chars and n_chars in docs.columns:
@@ -168,7 +171,11 @@ def redact_pii(docs: DataFrame, text: str = "text", n_chars: str | None = "n_cha
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """Per document: counts of the base kinds, the digest of the base spans and all spans as text."""
+    """Per row: counts of the base kinds, the digest of the base spans and all spans as text.
+
+    A null or empty text has no spans, counts of 0 and the digest of nothing. Each row is read alone, so repeated rows and
+    null ids give rows of their own, an empty table gives none, and other columns are not read.
+    """
     found = docs.select("doc_id", find_pii("text").alias("found"))
     joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding: a Viterbi search over a double-array trie of pieces with log scores.
 
 The pieces come from a model file. A unigram model's scores are its log scores; a BPE model's are minus the order in
-which its pieces were merged, and the log score of the kth piece is then -log(k + 1), as frequencies fall by rank.
+which its pieces were merged, and the log score of the kth piece is then -log(k + 1), as frequencies fall by rank: a BPE file
+holds no log scores, and tokenizers are not trained here.
 
 A text is prefixed with a space, where the model says so, and spaces become the marker U+2581. The path of the highest
 sum of scores wins, and of equal ones that whose last piece is longer. A character that no piece covers costs ten more than
@@ -284,7 +285,11 @@ def model(path: str) -> Model:
 
 
 def encode(text: str | Column, path: str) -> Column:
-    """Array of ids of a text column; null for null, empty for empty."""
+    """Array of ids of a text column; null for null, empty for empty.
+
+    Of paths with equal sums that whose last piece is longer wins. Rows are read alone: repeated ones give equal ids, an
+    empty table none.
+    """
 
     def run(texts: pa.Array) -> pa.Array:
         out = model(path).encode(texts.to_pylist())

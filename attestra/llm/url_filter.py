@@ -167,7 +167,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame
 
     verdict is that of the longest rule that fits, or else block where the classifier says so, or else allow. A null URL,
     or one without ://, has an empty host and path, no rule, and is judged by the classes' prior alone. Rows that repeat
-    are judged alike; other columns are not read.
+    are judged alike and each count; rules of one length fit one host and path only if they are equal. An empty table gives
+    no rows; other columns are not read.
     """
     host, path = parts()
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))

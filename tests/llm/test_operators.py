@@ -298,6 +298,55 @@ def test_text_columns(spark):
     assert {r[0] for r in df.select(html_text.extract_text("text")).collect()} >= {None, "", "x\n\nx\n\nx"}
 
 
+def test_empty_and_repeated_rows(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    none = _docs(spark, [])
+    coded = none.select(sentencepiece_unigram.encode("text", path).alias("ids"))
+    assert coded.select(sentencepiece_unigram.decode("ids", path)).count() == pii.pii_digest(none).count() == pii.redact_pii(none).count() == none.select(html_text.extract_text("text")).count() == 0
+    twice = _docs(spark, [(1, "a@b.cd <p>x"), (1, "a@b.cd <p>x"), (None, "a@b.cd <p>x")]).withColumn("spans", F.lit("clash")).withColumn("found", F.lit(0))
+    assert [(r["n_email"], r["spans"]) for r in pii.pii_digest(twice).collect()] == [(1, "email:0:6")] * 3
+    assert len({tuple(r[0]) for r in twice.select(sentencepiece_unigram.encode("text", path)).collect()}) == 1
+    assert {r[0] for r in twice.select(html_text.extract_text("text")).collect()} == {"a@b.cd\n\nx"}
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """All stages over one small table: what each keeps, by loops over the same rows."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(21)
+    good = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    texts = [(k, good(60) if k % 4 else "!! " + " ".join(w.upper() + "$$$" for w in good(60).split())) for k in range(160)]
+    texts += [(200 + k, texts[k][1] + " end") for k in (1, 2, 3)] + [(300, texts[5][1] + " mail a@b.cd"), (301, None), (302, "")]
+    docs = _docs(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(k, 1 if k % 4 else 0, 0) for k in range(160)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = cp.STAGES[0][1](spark, docs, str(tmp_path))
+    ids = {r["doc_id"] for r in kept.collect()}
+    scored = {r["doc_id"]: r["predicted"] for r in quality.scored(docs, labels).collect()}
+    assert ids == {i for i, p in scored.items() if p} and ids >= {k for k in range(160) if k % 4} and not ids & {k for k in range(160) if k % 4 == 0}
+    out = cp.run(spark, str(tmp_path)).collect()
+    sets = {i: _sets(t) for i, t in texts if i in ids}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    expect = {i for i, root in _roots(sorted(sets), links).items() if i == root}
+    assert {r["doc_id"] for r in out} == expect and not expect & {201, 202, 203, 300}
+    own, clean = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), dict(texts)
+    assert {r["doc_id"]: r["length"] for r in out} == {i: len(own.encode(clean[i] or "", add_special_tokens=False).ids) + 1 for i in expect}
+    assert len({r["sequence_id"] for r in out}) == -(-sum(r["length"] for r in out) // 4096)
+
+
+def test_held_out_accuracy(spark):
+    """The README's figures at sf0.1, or better."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    rows = quality.scored(docs, labels).where("held_out").join(labels.where("quality in (0, 1)"), "doc_id").select("score", "predicted", "quality").toPandas()
+    p, y = rows["score"].to_numpy(), rows["quality"].to_numpy()
+    rank = p.argsort().argsort() + 1
+    ones, zeros = (y == 1).sum(), (y == 0).sum()
+    assert (rank[y == 1].sum() - ones * (ones + 1) / 2) / (ones * zeros) > 0.999
+    assert rows["predicted"][y == 1].mean() > 0.99 and rows["predicted"][y == 0].mean() < 0.03
+
+
 def test_quality_learns_from_its_folds_only(spark):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choices(["the", "house", "of", "river", "stone", "and", "walks"], k=40))
