@@ -34,9 +34,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
     path = tokenizer_path("piece_bpe_32k.model")
-    coded = _table(spark, sf_dir, "documents").select("doc_id", "text", sentencepiece_unigram.encode("text", path).alias("ids"))
-    same = sentencepiece_unigram.decode("ids", path).eqNullSafe(F.translate("text", sentencepiece_unigram.MARKER, " "))
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
+    coded = _table(spark, sf_dir, "documents").select("doc_id", sentencepiece_unigram.encode_checked("text", path).alias("c"))
+    return coded.select("doc_id", "c.ids", F.size("c.ids").cast("long").alias("n_ids"), F.col("c.same").alias("round_trip"))
 
 
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

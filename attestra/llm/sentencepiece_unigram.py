@@ -284,6 +284,12 @@ def model(path: str) -> Model:
     return Model.read(path)
 
 
+def _id_lists(packed: list[bytes | None]) -> pa.ListArray:
+    sizes = np.array([0 if x is None else len(x) // 4 for x in packed], np.int64)
+    values = pa.array(np.frombuffer(b"".join(x for x in packed if x), "<i4"))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values, mask=pa.array([x is None for x in packed], pa.bool_()))
+
+
 def encode(text: str | Column, path: str) -> Column:
     """Array of ids of a text column; null for null, empty for empty.
 
@@ -292,14 +298,23 @@ def encode(text: str | Column, path: str) -> Column:
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        out = model(path).encode(texts.to_pylist())
-        sizes = np.array([0 if x is None else len(x) // 4 for x in out])
-        values = pa.array(np.frombuffer(b"".join(x for x in out if x), "<i4"))
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values, mask=pa.array([x is None for x in out]))
+        return _id_lists(model(path).encode(texts.to_pylist()))
 
     return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(text)
 
 
+def encode_checked(text: str | Column, path: str) -> Column:
+    """ids, and whether decoding them gives the text back (a marker in it as a space), in one pass; null ids and true for null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        m, given = model(path), texts.to_pylist()
+        packed = m.encode(given)
+        same = [t is None or m.decode(np.frombuffer(x, "<i4").tolist()) == t.replace(MARKER, " ") for t, x in zip(given, packed, strict=True)]
+        return pa.StructArray.from_arrays([_id_lists(packed), pa.array(same, pa.bool_())], names=["ids", "same"])
+
+    return F.arrow_udf(run, T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("same", T.BooleanType()))(text)
+
+
 def decode(ids: str | Column, path: str) -> Column:
     """The text of an array of ids; ids that are null or of no piece are left out; null for null."""
 

@@ -295,6 +295,8 @@ def test_text_columns(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     back = df.select("text", sentencepiece_unigram.encode("text", path).alias("ids")).select("text", "ids", sentencepiece_unigram.decode("ids", path).alias("back")).collect()
     assert all(r["back"] == r["text"] for r in back) and [r["ids"] for r in back if r["text"] == ""] == [[]]
+    checked = df.select("text", sentencepiece_unigram.encode_checked("text", path).alias("c")).select("text", "c.ids", "c.same").collect()
+    assert sorted((str(r["text"]), r["ids"], True) for r in back) == sorted((str(r["text"]), r["ids"], r["same"]) for r in checked)
     assert {r[0] for r in df.select(html_text.extract_text("text")).collect()} >= {None, "", "x\n\nx\n\nx"}
 
 
