@@ -6,9 +6,13 @@ element if that is open within its table, and is ignored otherwise; what is open
 styles and the like are raw until their own end tag. Comments, declarations and processing instructions are dropped.
 Character references are resolved in text and attributes.
 
-Visibility: nothing of the head, scripts, templates and other elements without a rendering; nothing that is hidden by
-attribute or by an inline style's display:none or visibility:hidden. All other text comes out: of svg its text elements and
-foreign content, of a select the option that is shown (all of them if it shows several), of math all but its annotations.
+Visibility: nothing of the head, scripts, templates and other elements without a rendering; nothing in an element whose
+display is none, by its style or else by the hidden attribute; no text whose visibility, inherited from the nearest element
+that sets it, is hidden or collapse, though its place in lists and tables stays. Styles are inline ones and those of the
+page's own sheets, by weight, kind of selector and order; of the sheets the rules for an element's name, class or id, or for
+a name with one of both, also within @media all or screen. Other selectors aren't read. All other text comes out: of svg its
+text elements and foreign content, of a select the option that is shown (all of them if it shows several), of math all but
+its annotations.
 
 Layout: white space collapses outside pre and textarea; blocks start on lines of their own, and headings, paragraphs, lists, tables,
 quotes and figures have an empty line around them; br breaks the line. List items are indented by depth and begin with "- " or
@@ -69,7 +73,9 @@ _HEAD_ONLY = frozenset("title meta link base script style template noscript".spl
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>\x00]*)")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+_COMMENT = re.compile(r"/\*(?:.*?\*/|.*)", re.S)
+_SELECTOR = re.compile(r"(?=[^\s])([A-Za-z][\w-]*|\*)?(?:([.#])([\w-]+))?")
+_SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:all|screen)", re.I)
 
 
 @dataclass(slots=True)
@@ -195,34 +201,91 @@ def tree(source: str) -> Node:
     return builder.root
 
 
-def _visible(node: Node) -> bool:
-    a = node.attributes
-    if node.name in UNSEEN or "hidden" in a or node.name == "input":
-        return False
-    style = a.get("style")
-    return not style or not _HIDING.search(style)
-
-
-def _below(node: Node) -> list:
-    """The children of a node that may be seen; of svg and select those that a browser shows, wherever they stand in it."""
-    if node.name not in ("svg", "select"):
-        return node.children
-    found, stack = [], node.children[::-1]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str) or not _visible(x):
-            continue
-        if x.name in (("text", "foreignobject") if node.name == "svg" else ("option",)):
-            found.append(x)
-        elif node.name == "select" or x.name not in _SVG_UNSEEN:
-            stack += x.children[::-1]
-    if node.name == "svg":
-        return [y for x in found for y in (" ", x, " ")]
-    options = [Node("option", x.attributes, [x.attributes["label"]]) if x.attributes.get("label") else x for x in found]
-    if "multiple" in node.attributes or _number(node.attributes.get("size"), 1) > 1:
-        return options
-    chosen = [x for x in options if "selected" in x.attributes][-1:] or [x for x in options if "disabled" not in x.attributes] or options
-    return [" ", *chosen[0].children, " "] if chosen else []
+def _declared(source: str) -> dict[str, tuple[bool, str]]:
+    """Display and visibility among declarations, and whether they are important; of several the last important one, or else the last."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub(" ", source).lower().split(";"):
+        name, colon, value = part.partition(":")
+        if colon and (name := name.strip()) in ("display", "visibility"):
+            value, mark, _ = value.partition("!")
+            if mark or not found.get(name, (False, ""))[0]:
+                found[name] = (bool(mark), value.strip())
+    return found
+
+
+class _Styles:
+    """What decides on visibility: the rules of a page's sheets by (name, class or id) and those in the elements."""
+
+    def __init__(self, root: Node) -> None:
+        self.rules: dict[tuple[str, str], dict[str, tuple]] = {}
+        stack, self.read = [root], 0
+        while stack:
+            x = stack.pop()
+            if x.name == "style":
+                self._add("".join(c for c in x.children if isinstance(c, str)))
+            elif x.name == "head" or x.name not in UNSEEN:
+                stack += [c for c in reversed(x.children) if not isinstance(c, str)]
+
+    def _add(self, sheet: str) -> None:
+        parts = re.split("([{}])", _COMMENT.sub(" ", sheet)) + ["}"]
+        blocks: list[tuple[bool, str | None]] = []  # of each open one, whether it counts, and its selectors
+        for text, brace in zip(parts[::2], parts[1::2], strict=True):
+            counts, selectors = blocks[-1] if blocks else (True, None)
+            if brace == "{":
+                text = text.rsplit(";", 1)[-1].strip()
+                at = text.startswith("@")
+                blocks.append((counts and selectors is None and (not at or bool(_SCREEN.fullmatch(text))), None if at else text))
+            elif blocks:
+                blocks.pop()
+                if counts and selectors and (declared := _declared(text)):
+                    for one in selectors.split(","):
+                        self._rule(one.strip(), declared)
+
+    def _rule(self, selector: str, declared: dict[str, tuple[bool, str]]) -> None:
+        if m := _SELECTOR.fullmatch(selector):
+            name = "" if m[1] in (None, "*") else m[1].lower()
+            known = self.rules.setdefault((name, (m[2] or "") + (m[3] or "")), {})
+            self.read += 1
+            for what, (important, value) in declared.items():
+                weight = (important, False, m[2] == "#", m[2] == ".", bool(name), self.read)
+                known[what] = max(known.get(what, ()), (weight, value))
+
+    def seen(self, node: Node, inherited: bool) -> bool | None:
+        """Whether text in an element shows where it sets nothing else; None if the element has no rendering."""
+        if node.name in UNSEEN or node.name == "input":
+            return None
+        a = node.attributes
+        own = {what: ((important, True), value) for what, (important, value) in _declared(a["style"]).items()} if a.get("style") else {}
+        if self.rules:
+            marks = ["", *("." + c for c in a.get("class", "").split()), *(["#" + a["id"]] if a.get("id") else [])]
+            for rule in (r for mark in marks for name in {"", node.name} if (r := self.rules.get((name, mark)))):
+                for what, found in rule.items():
+                    own[what] = max(own.get(what, ()), found)
+        if (own["display"][1] == "none") if "display" in own else "hidden" in a:
+            return None
+        visibility = own["visibility"][1] if "visibility" in own else ""
+        return False if visibility in ("hidden", "collapse") else visibility in ("visible", "initial") or inherited
+
+    def below(self, node: Node, shown: bool) -> list[tuple[Node | str, bool]]:
+        """The children of a node and what they inherit; of svg and select those that a browser shows, wherever they stand in it."""
+        if node.name not in ("svg", "select"):
+            return [(c, shown) for c in node.children]
+        found, stack = [], [(c, shown) for c in reversed(node.children)]
+        while stack:
+            x, inherited = stack.pop()
+            if isinstance(x, str) or (own := self.seen(x, inherited)) is None:
+                continue
+            if x.name in (("text", "foreignobject") if node.name == "svg" else ("option",)):
+                found.append((x, inherited))
+            elif node.name == "select" or x.name not in _SVG_UNSEEN:
+                stack += [(c, own) for c in reversed(x.children)]
+        if node.name == "svg":
+            return [y for x in found for y in ((" ", shown), x, (" ", shown))]
+        options = [(Node("option", x.attributes, [x.attributes["label"]]) if x.attributes.get("label") else x, own) for x, own in found]
+        if "multiple" in node.attributes or _number(node.attributes.get("size"), 1) > 1:
+            return options
+        chosen = [x for x, _ in options if "selected" in x.attributes][-1:] or [x for x, _ in options if "disabled" not in x.attributes] or [x for x, _ in options]
+        return [(c, shown) for c in (" ", *chosen[0].children, " ")] if chosen else []
 
 
 class _Lines:
@@ -296,52 +359,51 @@ def _aligned(rows: list[list[str]]) -> str:
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows)
 
 
-def _plain(node: Node) -> str:
+def _plain(node: Node, styles: _Styles, shown: bool) -> str:
     """All visible text below a node as it is, for pre."""
-    out, stack = [], [node]
+    out, stack = [], styles.below(node, shown)[::-1]
     while stack:
-        x = stack.pop()
+        x, inherited = stack.pop()
         if isinstance(x, str):
-            out.append(x)
+            out += [x] if inherited else []
         elif x.name == "br":
             out.append("\n")
-        elif x is node or _visible(x):
-            stack += _below(x)[::-1]
+        elif (own := styles.seen(x, inherited)) is not None:
+            stack += styles.below(x, own)[::-1]
     return "".join(out).replace("\r\n", "\n").replace("\r", "\n").strip("\n")
 
 
 def render(root: Node) -> str:
     """The visible text of a tree."""
-    # work is (action, argument): a node to enter, a string, or what ends an element; frames hold the lines being made
+    # work is (action, argument, shown): a node to enter, a string, or what ends an element; frames hold the lines being made
+    styles = _Styles(root)
     frames: list[_Lines] = [_Lines()]
     tables: list[dict] = []
     lists: list[list] = []
-    work: list[tuple[str, object]] = [("in", root)]
+    work: list[tuple[str, object, bool]] = [("in", root, True)]
     while work:
-        action, x = work.pop()
+        action, x, shown = work.pop()
         lines = frames[-1]
         if action == "in":
             if isinstance(x, str):
-                lines.add(x)
+                if shown:
+                    lines.add(x)
                 continue
-            if x is not root and not _visible(x):
+            if x is not root and (shown := styles.seen(x, shown)) is None:
                 continue
             name = x.name
             if name == "br":
                 if lines.now:
                     lines.line()
-                else:
+                elif shown:
                     lines.blank = True  # an empty line, as after another br or a block
                 continue
             if name == "hr":
                 lines.gap()
                 continue
-            if name == "img":
-                lines.add(x.attributes.get("alt", ""))
-                continue
             if name in ("pre", "textarea", "xmp"):
                 (lines.gap if name == "pre" else lines.line)()
-                lines.exact(_plain(x))
+                lines.exact(_plain(x, styles, shown))
                 (lines.gap if name == "pre" else lines.line)()
                 continue
             if name == "table":
@@ -370,10 +432,10 @@ def render(root: Node) -> str:
                     at = f"{kind[1]}. "
                     kind[1] += 1
                 indent = "  " * max(0, min(depth, DEEPEST))
-                work.append(("item", lines.prefix))
+                work.append(("item", lines.prefix, shown))
                 lines.marker, lines.prefix = indent + at, indent + " " * len(at)
-            work.append(("out", x))
-            work += [("in", c) for c in reversed(_below(x))]
+            work.append(("out", x, shown))
+            work += [("in", c, own) for c, own in reversed(styles.below(x, shown))]
         elif action == "item":
             lines.line()
             lines.prefix, lines.marker = x, ""

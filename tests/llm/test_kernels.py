@@ -251,7 +251,7 @@ def test_page_text(page, text):
 
 
 def test_page_text_is_linear():
-    for page in ("<div>" * 50_000 + "x", "<!--" * 50_000, "<script>" * 20_000, "<p><table>" * 10_000, "</b>" * 30_000 + "<b>" * 30_000, "<p><button>" + "<div>" * 30_000):
+    for page in ("<div>" * 50_000 + "x", "<!--" * 50_000, "<script>" * 20_000, "<p><table>" * 10_000, "</b>" * 30_000 + "<b>" * 30_000, "<p><button>" + "<div>" * 30_000, "<style>" + "/*" * 100_000, "<style>" + "@a{" * 50_000, "<style>" + ".a{display:none}" * 20_000 + "</style>" + "<b class=a>" * 20_000):
         html_text.page_text(page)
 
 
@@ -276,6 +276,94 @@ def test_page_text_of_formulas_drawings_choices_and_row_spans(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<p style='visibility:hidden'>a <b style='visibility:visible'>b</b> c</p>d", "b\n\nd"), ("<ol><li>a<li style='visibility:hidden'>b<li>c</ol>", "1. a\n3. c"),
+    ("<table><tr><td style='visibility:hidden'>aa<td>b<tr><td>c<td>d</table>", "   b\nc  d"), ("<img alt=x>y<pre style='visibility:hidden'>a\n<b style='visibility:visible'>b</b></pre>", "y\n\nb"),
+    ("<svg><g style='visibility:hidden'><text>a</text></g><text>b</text></svg>", "b"),
+    ("<style>.x{display:none} p.y{visibility:hidden}</style><b>b</b><i class='a x'>no</i><p class=y>no</p><u class=y>u</u>", "b\n\nu"),
+    ("<style>@media print{b{display:none}} @media screen{#q{display:none}}</style><b>b</b><i id=q>no</i>", "b"),
+    ("<style>.x{display:none}</style><i class=x style='display:inline'>a</i><i hidden>no</i><i hidden style='display:block'>b</i>", "ab"),
+    ("<style>.x{display:none!important}</style><i class=x style='display:inline'>no</i>z", "z"), ("<style>.a{display:none}.a{display:block}</style><a class=a>k</a>", "k"),
+    ("<style>#i{display:inline}i{display:none}.c{display:none}</style><i id=i class=c>a</i><i>no</i>", "a"), ("<style>/* } */ a{display:none", ""), ("<style>a>b{display:none}</style><a><b>x</b></a>", "x"),
+])
+def test_page_text_by_style(page, text):
+    assert html_text.page_text(page) == text
+
+
+_HIDES = {"": "", "none": " style='display:none'", "off": " hidden", "hidden": " style='visibility:hidden'", "visible": " style='visibility:visible'", "sheet": " class=gone", "dim": " class='b dim'"}
+
+
+def _some_tree(rng, kinds, deep):
+    """A tree of (name, how it hides, children) and words."""
+    kids = []
+    for _ in range(rng.integers(1, 4)):
+        name = rng.choice([*kinds, "word"]) if deep else "word"
+        inside = {"div": ("div", "p", "ul", "span"), "p": ("span",), "span": ("span",), "ul": ()}.get(name, ())
+        if name == "word":
+            kids.append("w" + str(rng.integers(1000)))
+        elif name == "ul":
+            kids.append(_some_list(rng, deep))
+        else:
+            kids.append((name, rng.choice(list(_HIDES)) if rng.random() < 0.4 else "", _some_tree(rng, inside, deep - 1)))
+    return kids
+
+
+def _some_list(rng, deep):
+    pick = lambda: rng.choice(list(_HIDES)) if rng.random() < 0.2 else ""
+    return ("ul", pick(), [("li", pick(), ["i" + str(rng.integers(1000)), *([_some_list(rng, deep - 1)] if deep > 1 and rng.random() < 0.4 else [])]) for _ in range(rng.integers(1, 4))])
+
+
+def _markup(x):
+    return f" {x} " if isinstance(x, str) else f"<{x[0]}{_HIDES[x[1]]}>{''.join(map(_markup, x[2]))}</{x[0]}>"
+
+
+def _naive_lines(nodes, shown, depth, out):
+    """Adds words, "line" and "gap" marks to out, as (kind, text)."""
+    for x in nodes:
+        if isinstance(x, str):
+            out += [("word", x)] if shown else []
+            continue
+        name, how, kids = x
+        if how in ("none", "off", "sheet"):
+            continue
+        own = how not in ("hidden", "dim") and (how == "visible" or shown)
+        edge = {"div": "line", "li": "line", "p": "gap", "ul": "line" if depth else "gap"}.get(name)
+        out += [(edge, "")] if edge else []
+        if name == "li":
+            out.append(("mark", "  " * (depth - 1) + "- "))
+        _naive_lines(kids, own, depth + (name == "ul"), out)
+        out += [("unmark", "")] if name == "li" else []
+        out += [(edge, "")] if edge else []
+
+
+def _naive_text(nodes):
+    marks, text, now, gap, mark = [], "", "", False, ""
+    _naive_lines(nodes, True, 0, marks)
+    for kind, s in [*marks, ("line", "")]:
+        if kind == "word":
+            now = f"{now} {s}" if now else mark + s
+        elif kind in ("mark", "unmark"):
+            mark = s
+        else:
+            if now:
+                text += ("\n\n" if gap else "\n") * bool(text) + now
+                now, gap, mark = "", False, ""
+            gap = gap or kind == "gap"
+    return text
+
+
+def test_page_text_against_a_naive_renderer():
+    rng = np.random.default_rng(5)
+    seen = 0
+    for _ in range(600):
+        nodes = _some_tree(rng, ("div", "p", "ul", "span"), 4)
+        want = _naive_text(nodes)
+        seen += "- " in want and "\n\n" in want
+        page = "<head><style>.gone{display:none}.dim{visibility:hidden}</style></head><body>" + "".join(map(_markup, nodes))
+        assert html_text.page_text(page) == want, page
+    assert seen > 50
+
+
 # --- 7
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(2)
