@@ -86,14 +86,26 @@ def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
+def _stretches(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """From where to where rows hold about `most` bytes, or are one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, stop
+        start = stop
+
+
 def byte_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text, so that long texts don't meet in one."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < batch.num_rows:
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        for start, stop in _stretches(batch.column(text), most):
             yield batch.slice(start, stop - start)
-            start = stop
         pa.default_memory_pool().release_unused()
+
+
+def byte_slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
+    """The same texts in slices of about `most` bytes; an empty array is one slice."""
+    for start, stop in _stretches(texts, most) if len(texts) else [(0, 0)]:
+        yield texts.slice(start, stop - start)

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.llm.common import byte_slices
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 #: Score before context, what a context word adds, and the least score of a span that is not of a base kind.
@@ -138,13 +140,14 @@ def redacted(text: str | None) -> str | None:
 
 @F.arrow_udf(SPAN_TYPE)
 def _spans_udf(texts: pa.Array) -> pa.Array:
-    rows = [[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans(t)] for t in texts.to_pylist()]
+    rows = [[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans(t)] for part in byte_slices(texts) for t in part.to_pylist()]
     return pa.array(rows, _ARROW_SPANS)
 
 
 @F.arrow_udf(T.StringType())
 def _redact_udf(texts: pa.Array) -> pa.Array:
-    return pa.array([redacted(t) for t in texts.to_pylist()], pa.string())
+    """Null for texts that stay as they are, so that they needn't travel back."""
+    return pa.array([new if (new := redacted(t)) is not t else None for part in byte_slices(texts) for t in part.to_pylist()], pa.string())
 
 
 def _suspect(text: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import byte_batches
+from attestra.llm.common import byte_batches, byte_slices
 from attestra.llm.shingles import _BYTE, _INVERSE, _POWER, _mix
 
 WORDS, SHAPES, DIMS, NONZERO, WINDOW = 1 << 14, 20, 48, 6, 2
@@ -261,7 +261,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.probabilities(features(texts.to_pylist(), shared.value.units)))
+        known = shared.value
+        return pa.array(np.concatenate([known.probabilities(features(part.to_pylist(), known.units)) for part in byte_slices(texts)]))
 
     return F.arrow_udf(run, T.DoubleType())(F.col(text).cast("string"))
 

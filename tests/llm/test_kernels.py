@@ -12,11 +12,22 @@ import pyarrow as pa
 import pytest
 
 from attestra.llm import embed_dedup, html_text, minhash, packing, pii, quality, shingles, topk, url_filter, warc
-from attestra.llm.common import local_components
+from attestra.llm.common import byte_slices, local_components
 from attestra.llm.sentencepiece_unigram import BYTE, CONTROL, MARKER, NORMAL, UNKNOWN, Model
 from attestra.llm.tokens import ChunkIds
 
 
+
+# --- common
+def test_byte_slices_hold_every_text_once():
+    texts = pa.array(["a" * 10, None, "", "b" * 30, "c", "d" * 5, "e"])
+    for given in (texts, texts.slice(2), texts.slice(0, 0)):
+        for most in (1, 6, 1000):
+            parts = list(byte_slices(given, most))
+            assert pa.concat_arrays(parts).equals(given)
+            assert all(len(p) <= 1 or sum(len(t or "") for t in p.to_pylist()) <= most for p in parts)
+
+
 def test_local_components():
     rng = random.Random(1)
     for _ in range(50):
