@@ -30,6 +30,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.llm.common import byte_slices
+
 MARKER = chr(0x2581)
 LONG, KNOWN, GROUP = 192, 300_000, 50_000
 _PENALTY = 10.0
@@ -298,7 +300,7 @@ def encode(text: str | Column, path: str) -> Column:
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        return _id_lists(model(path).encode(texts.to_pylist()))
+        return pa.concat_arrays([_id_lists(model(path).encode(part.to_pylist())) for part in byte_slices(texts)])
 
     return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(text)
 
@@ -306,12 +308,15 @@ def encode(text: str | Column, path: str) -> Column:
 def encode_checked(text: str | Column, path: str) -> Column:
     """ids, and whether decoding them gives the text back (a marker in it as a space), in one pass; null ids and true for null."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        m, given = model(path), texts.to_pylist()
+    def checked(part: pa.Array) -> pa.Array:
+        m, given = model(path), part.to_pylist()
         packed = m.encode(given)
         same = [t is None or m.decode(np.frombuffer(x, "<i4").tolist()) == t.replace(MARKER, " ") for t, x in zip(given, packed, strict=True)]
         return pa.StructArray.from_arrays([_id_lists(packed), pa.array(same, pa.bool_())], names=["ids", "same"])
 
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([checked(part) for part in byte_slices(texts)])
+
     return F.arrow_udf(run, T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("same", T.BooleanType()))(text)
 
 
