@@ -156,8 +156,7 @@ def summary_match(spark, sf_dir):
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     records = n.select(F.col("n_nationkey").cast("long").alias("id"), court(F.col("n_nationkey") % 4 == 0, "TST").alias("tribunal"), F.lit("sumula").alias("natureza"), campos(sumula=number("n_nationkey"), vinculante=odd("n_nationkey")).alias("campos"), F.lit(None).cast("string").alias("hash_texto"), F.array().cast("array<string>").alias("numeros_alternativos"))
     asked = s.select("s_suppkey", F.lit("jurisprudencia").alias("tipo_bruto"), F.lit(True).alias("tem_identificador"), campos(sumula=number("s_suppkey"), vinculante=odd("s_suppkey"), tribunal=court(F.col("s_suppkey") % 3 == 0, "STF")).alias("campos"))
-    found = resolve.search(asked, records).select("s_suppkey", F.explode("candidatos").alias("k"))
-    return found.select("s_suppkey", "k.id", "k.score")
+    return resolve.pairs(asked, records).select("s_suppkey", "k.id", "k.score")
 
 
 # --- decisions, output and fit from orders: gold of one span for each order

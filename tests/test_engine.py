@@ -297,3 +297,14 @@ def test_sources_and_command_line(spark, records, tmp_path, monkeypatch, capsys)
     assert readers.trace(spark, str(tmp_path / "stream" / "batch=0")).count() == 7
     emit.write_document_files(emit.documents(spark.createDataFrame(list(docs.items()), "documento_id string, texto string"), spark.read.parquet(str(out / "citations"))), str(tmp_path / "json"))
     assert sorted(p.name for p in (tmp_path / "json").iterdir()) == ["dois.json", "um.json"] and len(json.loads((tmp_path / "json" / "um.json").read_text())["citacoes"]) == 7
+
+
+def test_a_key_of_very_many_records_is_decided_in_reasonable_time(spark):
+    """Three thousand candidates, each text twice: comparing all pairs again within each pair doesn't end."""
+    kind = "array<struct<id:bigint,tribunal:string,natureza:string,score:double,conflitos_duros:array<string>,divergencias_brandas:array<string>,classes_compostas:array<string>,hash_texto:string>>"
+    cands = [(i, "STJ", "acordao", 1.0, [], [], ["REsp"], str(i // 2)) for i in range(3000)]
+    rows = [("catalogo", "jurisprudencia", (["REsp"],), cands), ("catalogo", "jurisprudencia", (["REsp"],), [(i, *c[1:7], "h") for i, c in enumerate(cands, 5)])]
+    df = spark.createDataFrame(rows, f"metodo_busca string, tipo_bruto string, campos struct<classes_compostas:array<string>>, candidatos {kind}")
+    decided = resolve.decide(df, resolve.Rules(duplicates=True))
+    assert {(r["metodo_decisao"], r["id_canonico"]) for r in decided.collect()} == {("cardinalidade_2mais", None), ("desempate_duplicata", 5)}
+    assert decided.where("metodo_decisao = 'desempate_duplicata'").first()["id_canonico"] == 5
