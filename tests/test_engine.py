@@ -308,3 +308,31 @@ def test_a_key_of_very_many_records_is_decided_in_reasonable_time(spark):
     decided = resolve.decide(df, resolve.Rules(duplicates=True))
     assert {(r["metodo_decisao"], r["id_canonico"]) for r in decided.collect()} == {("cardinalidade_2mais", None), ("desempate_duplicata", 5)}
     assert decided.where("metodo_decisao = 'desempate_duplicata'").first()["id_canonico"] == 5
+
+
+def test_digits_are_no_class_beside_letters_nor_within_a_number():
+    from attestra.functions.fields import fields
+
+    read = lambda t: fields(t, "jurisprudencia")[0]
+    assert [(read(t)["classe"], read(t)["classes_compostas"]) for t in ("RECURSO ESPECIAL Nº 1.000.515\nEMENTA", "5L5 nº 2.345/SP")] == [("REsp", ["REsp"]), ("SLS", ["SLS"])]
+    assert [len(read(f"AgRg 1.{n}")["variantes_texto"]) for n in ("000.515", "515.000", "515.515", "234.567")] == [9, 7, 9, 7]
+
+
+def test_pairs_are_the_candidates_without_arrays_of_a_keys_records(spark):
+    from attestra.plans.derived import campos
+
+    law = lambda three: campos(artigo=F.lit("5"), diploma=F.lit("CF"), paragrafo=three.cast("string"), vinculante=F.lit(False), classes_compostas=F.array())
+    null = F.lit(None).cast("string")
+    records = spark.range(6).select("id", null.alias("tribunal"), F.lit("dispositivo").alias("natureza"), law(F.col("id") % 3).alias("campos"), null.alias("hash_texto"), F.array().cast("array<string>").alias("numeros_alternativos"))
+    asked = spark.range(4).select(F.col("id").alias("n"), F.lit("lei").alias("tipo_bruto"), (F.col("id") > 0).alias("tem_identificador"), law(F.col("id") % 3).alias("campos"))
+    rows = lambda df: sorted((r["n"], r["k"]["id"], r["k"]["score"]) for r in df.collect())
+    found = resolve.pairs(asked, records)
+    assert len(rows(found)) == 18 and rows(found) == rows(resolve.search(asked, records).select("n", F.explode("candidatos").alias("k")))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_spare_predictions_that_count_take_one_matching(spark, sf_dir):
+    from attestra.plans import registry
+
+    plans = [registry.extra_rule(spark, sf_dir), registry.error_category(spark, sf_dir), registry.regression_gate(spark, sf_dir)]
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("Window [") for df in plans] == [2, 2, 2]
