@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -89,6 +90,11 @@ def header_end(text: Column | str) -> Column:
     return F.least(end, F.lit(V.HEADER_MOST))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, wherever the optimizer puts the whole."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Overlap over union of two spans; 0 for spans apart and for empty ones."""
     both = F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))

@@ -8,12 +8,13 @@ A key's array is as long as the key has records: candidates of one citation are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.functions.columns import let
 from attestra.operators import catalog
 
 
@@ -135,11 +136,6 @@ def _answered(rows: DataFrame, judge: Mapping[str, int] | DataFrame) -> DataFram
     return rows.withColumn("_asked", key).join(answers, same & (F.col("trecho") == F.col("_excerpt")) if by_excerpt else same, "left")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value worked out once, wherever the optimizer puts the whole."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _verdict(rules: Rules) -> Column:
     """metodo, chosen (id and natureza) and, for a judge, kept (those that it chooses from).
 
@@ -154,17 +150,17 @@ def _verdict(rules: Rules) -> Column:
         """By id; of rows that repeat an id the last one stands, with the best score of them all."""
         by_id = F.sort_array(F.transform(clean, lambda k, at: F.struct(k["id"].alias("id"), at.alias("at"), k.alias("k"))))
         one = lambda rows: F.filter(rows, lambda x, at: ~F.coalesce(F.get(rows, at + 1)["id"] == x["id"], F.lit(False)))
-        last = _let(by_id, lambda rows: F.transform(one(rows), lambda x: x["k"]))
+        last = let(by_id, lambda rows: F.transform(one(rows), lambda x: x["k"]))
         if not rules.score:
             return F.transform(last, lambda k: F.struct(F.lit(0.0).alias("s"), k["id"].alias("id"), k.alias("k")))
         scores = F.sort_array(F.transform(clean, lambda k: F.struct(k["id"].alias("id"), k["score"].alias("score"))))
-        return _let(_let(scores, one), lambda top: F.transform(last, lambda k, at: F.struct((-F.get(top, at)["score"]).alias("s"), k["id"].alias("id"), k.alias("k"))))
+        return let(let(scores, one), lambda top: F.transform(last, lambda k, at: F.struct((-F.get(top, at)["score"]).alias("s"), k["id"].alias("id"), k.alias("k"))))
 
     def without_copies(one: Column) -> Column:
         """Of records with one text that with the smallest id."""
         by_text = F.sort_array(F.transform(one, lambda x: F.struct(x["k"]["hash_texto"].alias("h"), x["id"].alias("id"), x.alias("x"))))
         firsts = lambda rows: F.filter(rows, lambda r, at: r["h"].isNull() | (at == 0) | ~F.get(rows, at - 1)["h"].eqNullSafe(r["h"]))
-        return _let(by_text, lambda rows: F.transform(firsts(rows), lambda r: r["x"]))
+        return let(by_text, lambda rows: F.transform(firsts(rows), lambda r: r["x"]))
 
     def settled(cands: Column, clean: Column, one: Column, kept: Column, same: Column, best: Column) -> Column:
         lead = F.get(best, F.lit(1))["s"] - first(best)["s"]
@@ -186,14 +182,14 @@ def _verdict(rules: Rules) -> Column:
     def of_kept(cands: Column, clean: Column, one: Column, kept: Column) -> Column:
         same = F.filter(kept, lambda x: (F.size(classes) > 0) & (x["k"]["classes_compostas"] == classes))
         best = F.sort_array(kept) if rules.score else kept
-        out = _let(same, lambda s: _let(best, lambda b: settled(cands, clean, one, kept, s, b)))
-        return out if rules.judge is None else _let(out, lambda o: F.struct(o["metodo"].alias("metodo"), o["chosen"].alias("chosen"), F.sort_array(F.transform(kept, lambda x: short(x["k"]))).alias("kept")))
+        out = let(same, lambda s: let(best, lambda b: settled(cands, clean, one, kept, s, b)))
+        return out if rules.judge is None else let(out, lambda o: F.struct(o["metodo"].alias("metodo"), o["chosen"].alias("chosen"), F.sort_array(F.transform(kept, lambda x: short(x["k"]))).alias("kept")))
 
     def of_all(cands: Column) -> Column:
         clean = F.filter(cands, lambda k: F.size(k["conflitos_duros"]) == 0)
-        return _let(clean, lambda c: _let(last_of_ids(c), lambda one: _let(without_copies(one) if rules.duplicates else one, lambda kept: of_kept(cands, c, one, kept))))
+        return let(clean, lambda c: let(last_of_ids(c), lambda one: let(without_copies(one) if rules.duplicates else one, lambda kept: of_kept(cands, c, one, kept))))
 
-    return _let(F.col("candidatos"), of_all)
+    return let(F.col("candidatos"), of_all)
 
 
 def decide(found: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -32,22 +32,27 @@ def without_overlaps(spans: Column) -> Column:
     """Of an array of spans those that a greedy choice keeps: by layer, length (longest first) and start; one that
     lies within a kept span, or meets one with an overlap of half the union, is dropped."""
     rank = lambda s: F.struct(priority(s["origem"]).alias("p"), (s["inicio"] - s["fim"]).alias("n"), s["inicio"].alias("a"), s.alias("s"))
-    ordered = F.transform(F.array_sort(F.transform(spans, rank)), lambda r: r["s"])
+    ordered = F.transform(F.sort_array(F.transform(spans, rank)), lambda r: r["s"])
 
     def clash(s: Column, k: Column) -> Column:
         inside = (k["inicio"] <= s["inicio"]) & (s["fim"] <= k["fim"])
         return inside | (K.iou(s["inicio"], s["fim"], k["inicio"], k["fim"]) >= V.SAME_SPAN_IOU)
 
-    return F.aggregate(ordered, F.filter(ordered, lambda s: F.lit(False)), lambda kept, s: F.when(F.exists(kept, lambda k: clash(s, k)), kept).otherwise(F.concat(kept, F.array(s))))
+    def chosen(ordered: Column) -> Column:
+        none = F.filter(ordered, lambda s: F.lit(False))
+        return F.aggregate(ordered, none, lambda kept, s: F.when(F.exists(kept, lambda k: clash(s, k)), kept).otherwise(F.concat(kept, F.array(s))))
+
+    # a single span needs no choice
+    return K.let(ordered, lambda o: F.when(F.size(o) < 2, o).otherwise(chosen(o)))
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """docs(documento_id, texto) to one row for each citation span; documents without one have none.
 
-    Only the spans of a document are kept past this step, never its text.
+    Only the spans of a document are kept past this step, never its text. No filter reads the spans: it would move below
+    the projection, and below a shuffle of its input, and have every text searched twice.
     """
     found = docs.select("documento_id", "texto", K.header_end("texto").alias("header"), K.candidate_spans("texto").alias("spans"))
-    found = found.where(F.size("spans") > 0)
     reach = V.OWN_AUTOS_REACH
     before = lambda s: F.substring(F.col("texto"), F.greatest(s["inicio"] - reach, F.lit(0)) + 1, F.least(s["inicio"], F.lit(reach)))
     kept = F.filter("spans", lambda s: (s["fim"] - s["inicio"] >= V.SPAN_LEAST) & ~distractor(s["inicio"], s["trecho"], before(s), F.col("header")))

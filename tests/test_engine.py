@@ -336,3 +336,11 @@ def test_spare_predictions_that_count_take_one_matching(spark, sf_dir):
 
     plans = [registry.extra_rule(spark, sf_dir), registry.error_category(spark, sf_dir), registry.regression_gate(spark, sf_dir)]
     assert [df._jdf.queryExecution().optimizedPlan().toString().count("Window [") for df in plans] == [2, 2, 2]
+
+
+def test_spans_are_searched_once_and_put_in_order_once(spark):
+    docs = spark.createDataFrame([("a", TEXT), ("b", "nada aqui"), ("c", None)], "documento_id string, texto string").repartition(2)
+    found = spans.extract(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("ArrowEvalPython ["), plan.count("sort_array(") + plan.count("array_sort(")) == (1, 1)
+    assert {r["documento_id"] for r in found.collect()} == {"a"}
