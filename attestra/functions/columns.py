@@ -91,8 +91,11 @@ def header_end(text: Column | str) -> Column:
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value worked out once, wherever the optimizer puts the whole."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """use(value) with value worked out once, wherever the optimizer puts the whole.
+
+    try_element_at keeps its type; get would work out the types of all within use again for each row.
+    """
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
 
 
 def iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
