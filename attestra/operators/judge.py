@@ -16,6 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What a prompt names of a candidate besides its id, and of the citation.
+_NAMED = ("natureza", "tribunal", "classes_compostas", "ano", "relator", "score")
+_ASKED = ("numero_normalizado", "classes_compostas", "tribunal", "uf", "ano", "relator")
+
+
 class Backend(Protocol):
     def answer(self, prompt: str) -> str: ...
 
@@ -34,8 +39,8 @@ def prompt(excerpt: str, candidates: Sequence[dict], asked: dict | None = None)
     """The same text for the same candidates in any order; asked: the citation's own fields."""
     by_id = sorted(candidates, key=lambda c: c["id"])
     named = lambda c, *keys: " ".join(f"{k}={'/'.join(v) if isinstance(v, list) else v}" for k in keys if (v := c.get(k)) not in (None, "", []))
-    lines = [f"- {c['id']}: " + named(c, "natureza", "tribunal", "classes_compostas", "ano", "relator", "score") for c in by_id]
-    fields = named(asked or {}, "numero_normalizado", "classes_compostas", "tribunal", "uf", "ano", "relator")
+    lines = [f"- {c['id']}: " + named(c, *_NAMED) for c in by_id]
+    fields = named(asked or {}, *_ASKED)
     ids = ", ".join(str(c["id"]) for c in by_id)
     return "\n".join(["Citation: " + " ".join(excerpt.split()), *([f"Fields: {fields}"] if fields else []), f"Ids: {ids}", *lines, 'Answer {"id_canonico": id or null, "justificativa": "..."}.'])
 
@@ -67,7 +72,8 @@ def valid(answer: Any, ids: Sequence[int]) -> int | None:
 def judged(undecided: DataFrame, backend: Backend) -> DataFrame:
     """trecho, ids (sorted, joined with commas), choice and reason: one answer for each excerpt with two candidates or more.
 
-    undecided: trecho, candidatos and maybe campos. Rows that repeat an excerpt and its candidates are asked once.
+    undecided: trecho, candidatos and maybe campos. Rows that repeat an excerpt and its candidates are asked once. Only
+    what a prompt names is put together and sent to Python.
     """
 
     def run(batches):
@@ -82,8 +88,12 @@ def judged(undecided: DataFrame, backend: Backend) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["trecho", "ids", "choice", "reason"])
 
-    ids = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform("candidatos", lambda k: k["id"]))), lambda i: i.cast("string")), ",")
-    kept = [c for c in ("candidatos", "campos") if c in undecided.columns]
-    asked = undecided.where(F.size("candidatos") > 1).withColumn("ids", ids).groupBy("trecho", "ids")
-    asked = asked.agg(F.min(F.struct(*kept)).alias("s")).select("trecho", "ids", "s.*")
+    ids = F.array_join(F.transform(F.sort_array(F.array_distinct(F.transform("candidatos", lambda k: k["id"]))), lambda i: i.cast("string")), ",")
+    parts = lambda of, kind, names: [of[n].alias(n) for n in kind.names if n in names]
+    kinds = {f.name: f.dataType for f in undecided.schema}
+    kept = [F.transform("candidatos", lambda k: F.struct(*parts(k, kinds["candidatos"].elementType, ("id", *_NAMED)))).alias("candidatos")]
+    if "campos" in kinds and (named := parts(F.col("campos"), kinds["campos"], _ASKED)):
+        kept.append(F.struct(*named).alias("campos"))
+    asked = undecided.where(F.size("candidatos") > 1).select("trecho", ids.alias("ids"), F.struct(*kept).alias("s"))
+    asked = asked.groupBy("trecho", "ids").agg(F.min("s").alias("s")).select("trecho", "ids", "s.*")
     return asked.mapInArrow(run, "trecho string, ids string, choice bigint, reason string")

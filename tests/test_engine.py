@@ -344,3 +344,15 @@ def test_spans_are_searched_once_and_put_in_order_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert (plan.count("ArrowEvalPython ["), plan.count("sort_array(") + plan.count("array_sort(")) == (1, 1)
     assert {r["documento_id"] for r in found.collect()} == {"a"}
+
+
+def test_decisions_and_problems_are_worked_out_once(spark, sf_dir):
+    from attestra.plans import kernel_queries, registry
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(registry.tiebreak_class(spark, sf_dir)).count("veto_quimera") == 1
+    assert plan(registry.cell_problems(spark, sf_dir)).count("overlaps an earlier citation") == 1
+    # lines are dealt by order, and cells by document: no third deal between them
+    assert plan(registry.parse_cell(spark, sf_dir)).count("Aggregate [l_orderkey") == 1
+    asked = plan(judge.judged(kernel_queries._undecided(spark, sf_dir), judge.Scripted(str)))
+    assert "classes_compostas" in asked and "conflitos_duros" not in asked.split("MapInArrow", 1)[1].split("Aggregate", 1)[0]
