@@ -56,7 +56,9 @@ def extract(docs: DataFrame) -> DataFrame:
     reach = V.OWN_AUTOS_REACH
     before = lambda s: F.substring(F.col("texto"), F.greatest(s["inicio"] - reach, F.lit(0)) + 1, F.least(s["inicio"], F.lit(reach)))
     kept = F.filter("spans", lambda s: (s["fim"] - s["inicio"] >= V.SPAN_LEAST) & ~distractor(s["inicio"], s["trecho"], before(s), F.col("header")))
-    return found.select("documento_id", F.explode(without_overlaps(kept)).alias("s")).select("documento_id", "s.*")
+    # outer and over a column: see resolve.decide
+    chosen = found.select("documento_id", without_overlaps(kept).alias("_s")).select("documento_id", F.explode_outer("_s").alias("s"))
+    return chosen.where("s is not null").select("documento_id", "s.*")
 
 
 def normalise(spans: DataFrame) -> DataFrame:
