@@ -16,7 +16,10 @@ from attestra.plans.derived import campos, query, spread, table
 from attestra.sources import readers
 
 _N = "cast(1000000 + o_custkey as string)"
+#: The first seven digits, all there are for customer keys below 9,000,000.
 _DOTTED = "substr({n}, 1, 1) || '.' || substr({n}, 2, 3) || '.' || substr({n}, 5, 3)".format(n=_N)
+#: All digits in threes from the right, for keys of any size.
+_GROUPED = "replace(format_number(1000000 + o_custkey, 0), ',', '.')"
 _SMALL = "cast(100 + o_custkey % 800 as string)"
 _CNJ = "lpad(cast(o_orderkey % 10000000 as string), 7, '0') || '-' || lpad(cast(o_custkey % 100 as string), 2, '0') || '.' || cast(2000 + o_orderkey % 20 as string) || '.5.' || lpad(cast(o_custkey % 90 as string), 2, '0') || '.0001'"
 _CNJ_DIGITS = f"replace(replace({_CNJ}, '-', ''), '.', '')"
@@ -113,7 +116,7 @@ def law_parts(spark, sf_dir):
 @query(f"select o_orderkey, case when o_orderkey % 3 < 2 then {_SMALL} end as sumula, o_orderkey % 3 = 0 as vinculante, case when o_orderkey % 3 = 2 then {_N} end as numero, case when o_orderkey % 3 = 2 then 7 else 0 end + case when case when o_orderkey % 3 = 2 then o_custkey % 1000 else 100 + o_custkey % 800 end = 515 then 2 else 0 end as variantes from orders")
 def summary_fields(spark, sf_dir):
     """515 reads as SLS, a class of two spellings."""
-    text = F.expr(f"case o_orderkey % 3 when 0 then 'Súmula Vinculante nº ' || {_SMALL} when 1 then 'sum. ' || {_SMALL} || ' do TST' else 'AgRg ' || {_DOTTED} end")
+    text = F.expr(f"case o_orderkey % 3 when 0 then 'Súmula Vinculante nº ' || {_SMALL} when 1 then 'sum. ' || {_SMALL} || ' do TST' else 'AgRg ' || {_GROUPED} end")
     c = K.parse_fields(text, F.lit("jurisprudencia"))["campos"]
     return _orders(spark, sf_dir).select("o_orderkey", c.alias("c")).select("o_orderkey", "c.sumula", "c.vinculante", F.col("c.numero_normalizado").alias("numero"), F.size("c.variantes_texto").alias("variantes"))
 
@@ -121,8 +124,8 @@ def summary_fields(spark, sf_dir):
 #: A court's formula behind the header, a chain that no year, date, registry or law is, and a national number behind a short one.
 _OWN_TEXT = f"""case o_orderkey % 5
  when 0 then 'Lei nº 9.504/1997' || chr(10) || chr(10) || repeat('longo texto ', 100) || 'Vistos e examinados estes autos de Recurso nº TST-RR-' || {_CNJ} || ' e outros'
- when 1 then 'Julgado em 12/05/2010, RJ12345, lei nº 13.105, nº ' || {_DOTTED} || ' (' || {_CNJ} || ')'
- when 2 then 'Em 2010 o de ' || {_DOTTED} || ' veio'
+ when 1 then 'Julgado em 12/05/2010, RJ12345, lei nº 13.105, nº ' || {_GROUPED} || ' (' || {_CNJ} || ')'
+ when 2 then 'Em 2010 o de ' || {_GROUPED} || ' veio'
  when 3 then 'Processo ' || {_CNJ} || chr(10) || 'EMENTA'
  else 'em 2010, sem mais' end"""
 

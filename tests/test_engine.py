@@ -318,6 +318,19 @@ def test_digits_are_no_class_beside_letters_nor_within_a_number():
     assert [len(read(f"AgRg 1.{n}")["variantes_texto"]) for n in ("000.515", "515.000", "515.515", "234.567")] == [9, 7, 9, 7]
 
 
+def test_numbers_of_large_keys_are_read_whole(spark, tmp_path):
+    """Customer keys from 9,000,000 on make numbers of more than seven digits."""
+    from attestra.plans import kernel_queries
+
+    keys = [(2, 8_999_515), (5, 9_000_515), (11, 9_515_234), (17, 14_515_515), (26, 59_000_000), (32, 4_000_000_515)]
+    spark.createDataFrame([(o, c, None) for o, c in keys], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    read = {r["o_orderkey"]: (r["numero"], r["variantes"]) for r in kernel_queries.summary_fields(spark, str(tmp_path)).collect()}
+    assert read == {o: (str(1_000_000 + c), 9 if c % 1000 == 515 else 7) for o, c in keys}
+    own = {r["o_orderkey"]: r["numeros"] for r in kernel_queries.own_numbers(spark, str(tmp_path)).collect()}
+    cnj = lambda o, c: f"{o:07}{c % 100:02}{2000 + o % 20}5{c % 90:02}0001"
+    assert own == {o: {0: cnj(o, c), 1: f"{1_000_000 + c},{cnj(o, c)}", 2: str(1_000_000 + c)}[o % 5] for o, c in keys}
+
+
 def test_pairs_are_the_candidates_without_arrays_of_a_keys_records(spark):
     from attestra.plans.derived import campos
 
